@@ -5,13 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat
+from . import byte_bpe, chat, ctph, warc
+from .common import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as WARC records, reads the archives back, and tells what each record holds."""
+    path = scratch_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    back = warc.read_warc(spark, path)
+    response = F.col("warc_type") == "response"
+    return back.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("bigint")).otherwise(F.col("http_headers")["content-length"].cast("bigint")).alias("payload_bytes"),
+        F.when(response, warc.sha1_base32(F.col("payload"))).otherwise(F.replace(F.col("headers")["warc-payload-digest"], F.lit("sha1:"), F.lit(""))).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        warc.page_of(F.col("headers")["warc-refers-to"]).alias("refers_to"),
+    )
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS x FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(x, CAST((k // 4) * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (k % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM q
+"""
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats all conversations, and one whose texts are made of control strings; reads turns and loss text back."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -57,6 +85,11 @@ FROM e GROUP BY conv_id
 """
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints every text and its edited text, and compares them with each other and with the next document."""
+    return ctph.compare_edited(_table(spark, sf_dir, "documents")).drop("next_id")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text by a public vocabulary, and decodes the ids again."""
     import public_tokenizers
@@ -73,10 +106,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_chat_format": op3_chat_format,
+    "op5_fingerprints": op5_fingerprints,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
 ORACLE_SQL = {
+    "op1_warc": OP1_SQL,
     "op3_chat_format": OP3_SQL,
 }
