@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, ctph, warc
-from .common import scratch_path
+from . import byte_bpe, chat, ctph, toxicity, warc
+from .common import fold, scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,11 +105,27 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    """A model fitted on the labels of ids whose crc32 modulo 5 is not 0."""
+    labels = _table(spark, sf_dir, "labels").where(fold("doc_id") != 0).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.fit(docs, labels)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every text; labels of held-out ids are never read."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.add_score(docs, toxicity_model(spark, sf_dir, docs))
+    return scored.select(
+        "doc_id", (fold("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_chat_format": op3_chat_format,
     "op5_fingerprints": op5_fingerprints,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
