@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, ctph, near_vectors, toxicity, warc
+from . import byte_bpe, chat, ctph, near_vectors, shingle_join, toxicity, warc
 from .common import fold, scratch_path
 
 
@@ -105,6 +105,30 @@ FROM e GROUP BY conv_id
 """
 
 
+def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups all documents by links of word-shingle likeness 4/5 or more."""
+    return shingle_join.near_duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id
+"""
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints every text and its edited text, and compares them with each other and with the next document."""
     return ctph.compare_edited(_table(spark, sf_dir, "documents")).drop("next_id")
@@ -144,6 +168,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_near_vectors": op2_near_vectors,
     "op3_chat_format": op3_chat_format,
+    "op4_shingle_join": op4_shingle_join,
     "op5_fingerprints": op5_fingerprints,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_toxicity": op9_toxicity,
@@ -153,4 +178,5 @@ ORACLE_SQL = {
     "op1_warc": OP1_SQL,
     "op2_near_vectors": OP2_SQL,
     "op3_chat_format": OP3_SQL,
+    "op4_shingle_join": OP4_SQL,
 }
