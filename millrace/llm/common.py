@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,9 @@ def width(spark: SparkSession) -> int:
 def fold(column: str | object, divisor: int = 5):
     """crc32 of an id's decimal text modulo ``divisor``: the split into training and held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor if isinstance(column, str) else F.crc32(column.cast("string").cast("binary")) % divisor
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now: they go once the driver has collected what named them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

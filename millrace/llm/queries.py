@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, ctph, near_vectors, shingle_join, toxicity, warc
+from . import byte_bpe, chat, ctph, near_vectors, repeats, shingle_join, toxicity, warc
 from .common import fold, scratch_path
 
 
@@ -164,6 +164,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes every byte of a 200-byte string that starts anywhere else too."""
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lost = F.aggregate("removed", F.lit(0).cast("bigint"), lambda total, s: total + s["to"] - s["from"])
+    return out.select(
+        "doc_id",
+        (F.octet_length("kept") + lost).alias("n_bytes"),
+        lost.alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_near_vectors": op2_near_vectors,
@@ -172,6 +185,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL = {
