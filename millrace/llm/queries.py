@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, ctph, near_vectors, repeats, shingle_join, toxicity, warc
+from . import byte_bpe, chat, ctph, near_vectors, ngram_lm, repeats, shingle_join, toxicity, warc
 from .common import fold, scratch_path
 
 
@@ -134,6 +134,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.compare_edited(_table(spark, sf_dir, "documents")).drop("next_id")
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every text by a bigram model learnt from the ids that are not held out."""
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text by a public vocabulary, and decodes the ids again."""
     import public_tokenizers
@@ -183,6 +188,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_shingle_join": op4_shingle_join,
     "op5_fingerprints": op5_fingerprints,
+    "op6_ngram_lm": op6_ngram_lm,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
