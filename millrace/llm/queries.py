@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, ctph, near_vectors, ngram_lm, repeats, shingle_join, toxicity, warc
+from . import byte_bpe, chat, ctph, length_buckets, near_vectors, ngram_lm, repeats, shingle_join, toxicity, warc
 from .common import fold, scratch_path
 
 
@@ -154,6 +154,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents into batches of a token budget within length buckets of least padding."""
+    return length_buckets.pack(_table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     """A model fitted on the labels of ids whose crc32 modulo 5 is not 0."""
     labels = _table(spark, sf_dir, "labels").where(fold("doc_id") != 0).select("doc_id", F.col("toxic").alias("label"))
@@ -190,6 +195,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_ngram_lm": op6_ngram_lm,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_repeats": op10_repeats,
 }
