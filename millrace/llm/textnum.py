@@ -17,8 +17,8 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """ROOT**k and ROOT**-k modulo 2**64 for k up to n at least."""
-    if n not in _tables and (have := max(_tables, default=-1)) < n:
-        size = max(n + 1, 1 << 16, min(2 * have, 1 << 23))
+    if max(_tables, default=-1) < n:
+        size = -(-(n + 1) // (1 << 20)) << 20 if n >= 1 << 16 else 1 << 16
         made = []
         for base in (ROOT, UNROOT):
             steps = np.full(size, base, np.uint64)
