@@ -105,13 +105,19 @@ class StreamingSql:
             call = f"window({column}, '{size}', '{duration(advance or m[3])}')"
         else:
             call = f"session_window({column}, '{size}')" if kind == "SESSION" else f"window({column}, '{size}')"
-        text = query[: m.start()] + query[m.end() :]
-        text = re.sub(r"\bGROUP\s+BY\b", f"GROUP BY {call}, ", text, count=1, flags=re.I) if re.search(r"\bGROUP\s+BY\b", text, re.I) else self._grouped(text, call)
         field = "session_window" if kind == "SESSION" else "window"
-        return re.sub(r"\bwindow_(start|end)\b(?!\s*\()", lambda w: f"{field}.{w[1]} AS window_{w[1]}", text, count=2, flags=re.I)
+        begin = max((x.start() for x in re.finditer(r"\bSELECT\b", query[: m.start()], re.I)), default=0)
+        head = re.sub(r"\bwindow_(start|end)\b(?!\s*\()", lambda w: f"{field}.{w[1]} AS window_{w[1]}", query[begin : m.start()], flags=re.I)
+        return query[:begin] + head + self._grouped(query[m.end() :], call)
 
     @staticmethod
-    def _grouped(text: str, call: str) -> str:
-        tail = re.search(r"\b(HAVING|ORDER\s+BY|LIMIT)\b", text, re.I)
-        at = tail.start() if tail else len(text)
-        return f"{text[:at].rstrip()} GROUP BY {call} {text[at:]}"
+    def _grouped(tail: str, call: str) -> str:
+        """What follows a window clause, with the window among the grouping keys of its own SELECT."""
+        depth = 0
+        for x in re.finditer(r"[()]|\bGROUP\s+BY\b|\b(?:HAVING|ORDER\s+BY|LIMIT|UNION|EXCEPT|INTERSECT)\b|$", tail, re.I):
+            depth += {"(": 1, ")": -1}.get(x[0], 0)
+            if depth == 0 and x[0][:5].upper() == "GROUP":
+                return f"{tail[: x.end()]} {call}, {tail[x.end() :]}"
+            if depth < 0 or (depth == 0 and x[0] not in ("(", ")")):
+                return f"{tail[: x.start()].rstrip()} GROUP BY {call} {tail[x.start() :]}"
+        return tail
