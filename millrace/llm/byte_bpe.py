@@ -12,12 +12,13 @@ import json
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .textnum import blocks
+
 BUCKETS = 65_521
 NONE = 2_000_000_000
 
@@ -184,6 +185,20 @@ class RankTable:
         return [*done, (rows, ids)]
 
 
+def encode_by_expressions(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(doc_id, token_ids) by Spark expressions alone: distinct matches, the fold of ``RankLiterals``, and a join back to the texts.
+
+    ``doc_id`` must be unique. It moves every match of every text through a shuffle; ``encode_documents`` moves none.
+    """
+    fold, unicode = RankLiterals(ranks), "(?U)" + pattern
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(unicode), F.lit(0))
+    rows = docs.select("doc_id", F.posexplode_outer(found).alias("pos", "word"))
+    words = rows.where("word is not null").select("word").distinct().withColumn("ids", fold.encode(F.col("word").cast("binary")))
+    gathered = rows.join(words, "word", "left").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    empty = F.array().cast("array<int>")
+    return gathered.select("doc_id", F.flatten(F.transform("parts", lambda p: F.coalesce(p["ids"], empty))).alias("token_ids"))
+
+
 def compiled(pattern: str):
     """The pattern with white space as Unicode defines it."""
     return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
@@ -212,16 +227,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     return docs.mapInArrow(run, schema)
 
 
-def blocks(texts: pa.Array, most: int = 4_000_000):
-    """(from, to) ranges of rows with some ``most`` bytes of text each; a longer text is a block of its own."""
-    sizes = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
-    a = 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most)))
-        yield a, b
-        a = b
-
-
 def _encode_block(texts: pa.Array, table: RankTable, split) -> pa.Array:
     words: list[str] = []
     counts = [0]

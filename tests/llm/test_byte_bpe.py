@@ -44,6 +44,13 @@ def test_higher_order_fold_equals_the_numpy_fold(spark):
         assert r.ids == ids.tolist() == enc.encode_ordinary(r.w)
 
 
+def test_expressions_alone_give_the_same(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    enc = library()
+    for r in byte_bpe.encode_by_expressions(docs, RANKS, public_tokenizers.PATTERN).collect():
+        assert r.token_ids == enc.encode_ordinary(TEXTS[r.doc_id] or "")
+
+
 def test_query_on_the_small_table(spark, sf_dir):
     from millrace.llm.queries import op7_byte_bpe
 
