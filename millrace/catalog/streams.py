@@ -7,13 +7,14 @@ import json
 from pyspark.sql import functions as F
 
 from ..operators import windows
+from ..operators import cep
 from ..plans import questions
 from ..plans.query import Query, Store
 from ..plans.sql import StreamingSql
 from ..session import table
-from ..streaming import stateful
+from ..streaming import patterns, stateful
 from ..streaming.dsl import Stream, Table
-from ..streaming.run import drain, replay
+from ..streaming.run import drain, replay, scratch
 from . import query
 from .events import _LATEST
 
@@ -171,3 +172,104 @@ def _count_step(state, row):
 def stream_stateful_count(spark, sf):
     out = drain(stateful.transform_values(replay(spark, sf, "events").select("user_id", "event_id"), "user_id", "event_id", _count_step), "update")
     return out.select(F.col("key").cast("bigint").alias("key"), "ord", "output")
+
+
+@query("stream_cep", "WITH a AS (SELECT *, row_number() OVER w - row_number() OVER v AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), v AS (PARTITION BY user_id, event_type = 'click' ORDER BY ts, event_id)), b AS (SELECT user_id, event_id, g, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS k FROM a WHERE event_type = 'click') SELECT CAST(user_id AS VARCHAR) AS key, min(event_id) FILTER (k % 2 = 1) AS start_id, min(event_id) FILTER (k % 2 = 0) AS end_id, CAST(2 AS BIGINT) AS n_events FROM (SELECT *, (k + 1) // 2 AS pair FROM b) GROUP BY user_id, g, pair HAVING count(*) = 2")
+def stream_cep(spark, sf):
+    p = cep.Pattern.begin("a", F.col("event_type") == "click").times(2)
+    return drain(patterns.match_stream(replay(spark, sf, "events"), p, "user_id", "ts", "event_id"), "update")
+
+
+@query("stream_view_incremental", "SELECT event_type, count(*) AS n, max(value) AS top FROM events GROUP BY event_type")
+def stream_view_incremental(spark, sf):
+    s = replay(spark, sf, "events")
+    return drain(s.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top")), "complete")
+
+
+@query("stream_union", "SELECT event_id FROM events WHERE event_type IN ('click', 'view')")
+def stream_union(spark, sf):
+    s = replay(spark, sf, "events").select("event_id", "event_type")
+    return drain(s.where("event_type = 'click'").unionByName(s.where("event_type = 'view'")).select("event_id"))
+
+
+@query("udf_scalar", "SELECT n_nationkey, CAST(length(n_name) * 2 AS BIGINT) AS twice FROM nation")
+def udf_scalar(spark, sf):
+    from ..functions import udfs
+
+    twice = udfs.scalar(lambda s: s.str.len() * 2, "bigint")
+    return table(spark, sf, "nation").select("n_nationkey", twice("n_name").alias("twice"))
+
+
+@query("udf_table", "SELECT n_nationkey, unnest(string_split(n_name, ' ')) AS word FROM nation")
+def udf_table(spark, sf):
+    from ..functions import udfs
+
+    def words(batches):
+        for b in batches:
+            yield b.assign(word=b["n_name"].str.split(" ")).explode("word")[["n_nationkey", "word"]]
+
+    return udfs.rows(table(spark, sf, "nation"), words, "n_nationkey int, word string")
+
+
+@query("udf_aggregate", "SELECT n_regionkey, CAST(max(n_nationkey) - min(n_nationkey) AS BIGINT) AS span FROM nation GROUP BY n_regionkey")
+def udf_aggregate(spark, sf):
+    from ..functions import udfs
+
+    return table(spark, sf, "nation").groupBy("n_regionkey").agg(udfs.aggregate(lambda v: int(v.max() - v.min()), "bigint")("n_nationkey").alias("span"))
+
+
+@query("source_json_lines", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def source_json_lines(spark, sf):
+    from ..sources.files import json_rows
+
+    lines = table(spark, sf, "events").select(F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))).alias("value"))
+    return json_rows(lines, "event_id bigint, k bigint")
+
+
+@query("source_range", "SELECT CAST(i AS BIGINT) AS id FROM range(10, 100, 7) t(i)")
+def source_range(spark, sf):
+    return spark.range(10, 100, 7)
+
+
+@query("source_incremental", "SELECT o_orderkey FROM orders WHERE o_orderkey > 1000")
+def source_incremental(spark, sf):
+    from ..sources.files import incremental
+
+    return incremental(table(spark, sf, "orders"), "o_orderkey", 1000).select("o_orderkey")
+
+
+@query("source_temp_view", "SELECT n_name FROM nation WHERE n_regionkey = 2")
+def source_temp_view(spark, sf):
+    table(spark, sf, "nation").createOrReplaceTempView("millrace_nation")
+    return spark.sql("SELECT n_name FROM millrace_nation WHERE n_regionkey = 2")
+
+
+@query("topic_browse", "SELECT event_id FROM events ORDER BY event_id LIMIT 25 OFFSET 40")
+def topic_browse(spark, sf):
+    from ..sources.topics import browse, topic_of, topic_scan
+
+    raw = topic_of(table(spark, sf, "events").select("event_id", "user_id", "ts"), "user_id", ["event_id"], "ts", partitions=1)
+    return topic_scan(browse(raw, 0, 40, 25), "event_id bigint").select("event_id")
+
+
+@query("sink_files_round_trip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def sink_files_round_trip(spark, sf):
+    n, at = table(spark, sf, "nation"), scratch(spark, "nation")
+    n.write.partitionBy("n_regionkey").json(at)
+    return spark.read.schema(n.schema).json(at)
+
+
+@query("fn_map", "SELECT n_nationkey, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
+def fn_map(spark, sf):
+    m = F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string"))
+    return table(spark, sf, "nation").select("n_nationkey", F.element_at(m, "name").alias("name"), F.map_values(m)[1].alias("region"))
+
+
+@query("observe_peek", "SELECT count(*) AS n FROM orders")
+def observe_peek(spark, sf):
+    return Stream(table(spark, sf, "orders"), "o_custkey").peek("passing", F.count(F.lit(1)).alias("rows")).df.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("repartition_by_key", "SELECT count(*) AS n FROM orders")
+def repartition_by_key(spark, sf):
+    return Stream(table(spark, sf, "orders"), "o_custkey").repartition(4).df.agg(F.count(F.lit(1)).alias("n"))

@@ -152,16 +152,28 @@ def _regex(pattern: Pattern) -> re.Pattern:
     return re.compile("".join(parts))
 
 
-def match_quantified(df: DataFrame, pattern: Pattern, keys: list[str], ts: str, order: list[str], event: str, after: str = "past_last") -> DataFrame:
+def match_quantified(df: DataFrame, pattern: Pattern, keys: list[str], ts: str, order: list[str], event: str, after: str | tuple[str, str] = "past_last") -> DataFrame:
     """Matches of patterns with quantifiers: keys, start_id, end_id, n_events.
 
     Each event becomes a symbol that tells which steps it satisfies, a key's events a text, the pattern a regular expression over it.
-    ``after`` a match the search goes on past its last event, or at the next event (``to_next``). Keys are worked on in parallel; one
+    ``after`` a match the search goes on past its last event (past_last), at the next event (to_next, or no_skip: one match for each first
+    event), or at the first or last event that a step took (("to_first", step), ("to_last", step)). Keys are worked on in parallel; one
     key's events are held together by one task.
     """
     width = len(pattern.steps) + 2
     expression = _regex(pattern)
     limit = pd.Timedelta(pattern.limit) if pattern.limit else None
+    names = {s.name: k for k, s in enumerate(pattern.steps)}
+
+    def resume(m: re.Match, a: int) -> int:
+        if after == "past_last":
+            return m.end()
+        if isinstance(after, tuple):
+            begin, end = m.span(f"s{names[after[1]]}")
+            place = begin if after[0] == "to_first" else end - width
+            return max(place, (a + 1) * width)
+        return (a + 1) * width
+
     symbol = F.concat(F.lit("<"), *(F.coalesce(s.test, F.lit(False)).cast("int").cast("string") for s in pattern.steps), F.lit(">"))
     rows = df.select(*keys, F.col(event).cast("bigint").alias("__id"), F.col(ts).alias("__ts"), symbol.alias("__s"), *[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)])
 
@@ -173,7 +185,7 @@ def match_quantified(df: DataFrame, pattern: Pattern, keys: list[str], ts: str,
             a, b = m.start() // width, m.end() // width
             if b > a and (limit is None or pd.Timedelta(times[b - 1] - times[a]) <= limit):
                 out.append((*group.iloc[0][keys], ids[a], ids[b - 1], b - a))
-                at = m.end() if after == "past_last" else (a + 1) * width
+                at = resume(m, a)
             else:
                 at = (a + 1) * width
         return pd.DataFrame(out, columns=[*keys, "start_id", "end_id", "n_events"])

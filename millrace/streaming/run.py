@@ -19,7 +19,8 @@ def replay(spark: SparkSession, directory: str, name: str, files_per_trigger: in
     return read.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place that the session names, or a local one where it names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -28,7 +29,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream has put out once its input is read: a table of the last result (complete) or of all output (append, update)."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
-    out, checkpoint = _folder(spark, "stream-out"), _folder(spark, "stream-state")
+    out, checkpoint = scratch(spark, "stream-out"), scratch(spark, "stream-state")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
