@@ -173,7 +173,7 @@ def node_priority(spark, sf):
 
 @query("node_repartition_round_robin", "SELECT s_suppkey, CAST((row_number() OVER (ORDER BY s_suppkey) - 1) % 4 AS INT) AS partition FROM supplier")
 def node_repartition_round_robin(spark, sf):
-    return nodes.repartition(table(spark, sf, "supplier").select("s_suppkey"), 4, "round_robin", order=["s_suppkey"])
+    return nodes.repartition(table(spark, sf, "supplier").select("s_suppkey"), 4, "round_robin")
 
 
 @query("node_repartition_key")
@@ -191,6 +191,13 @@ def node_gate_drop(spark, sf):
     return nodes.gate(e.where("event_type = 'view'").select("event_id", "ts"), signals, "ts", buffer=False).select("event_id")
 
 
+@query("node_gate_buffer", f"FROM (SELECT event_id, event_type, ts, coalesce(last_value(o IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), true) AS is_open, min(CASE WHEN o THEN ts END) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opens FROM ({GATES}) JOIN events USING (event_id, ts)) SELECT event_id, CASE WHEN is_open THEN ts ELSE opens END AS released_at WHERE event_type = 'view' AND (is_open OR opens IS NOT NULL)")
+def node_gate_buffer(spark, sf):
+    e = table(spark, sf, "events")
+    signals = e.where("event_type in ('signup', 'error')").select("ts", (F.col("event_type") == "signup").alias("is_open"))
+    return nodes.gate(e.where("event_type = 'view'").select("event_id", "ts"), signals, "ts").select("event_id", "released_at")
+
+
 @query("node_wait_for_input", "SELECT v.event_id AS v_id, p.event_id AS p_id FROM events v JOIN events p ON v.user_id = p.user_id AND v.event_type = 'view' AND p.event_type = 'purchase' AND p.ts BETWEEN v.ts - INTERVAL 30 MINUTE AND v.ts + INTERVAL 30 MINUTE")
 def node_wait_for_input(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")

@@ -252,27 +252,38 @@ def priority(df: DataFrame, field: str, default: float, batch: Column, order: li
     return df.withColumn("place", F.row_number().over(w))
 
 
-def repartition(df: DataFrame, partitions: int, how: str = "key", field: str | None = None, static: int = 0, order: list[str] = ()) -> DataFrame:
-    """Records with the partition they go to: static, round_robin, field or key."""
+def repartition(df: DataFrame, partitions: int, how: str = "key", field: str | None = None, static: int = 0) -> DataFrame:
+    """Records with the partition they go to: static, round_robin (each task deals its own rows in turn), field or key."""
     if how == "static":
         return df.withColumn("partition", F.lit(static))
     if how == "round_robin":
-        return df.withColumn("partition", ((F.row_number().over(Window.orderBy(*order)) - 1) % partitions).cast("int"))
+        return df.withColumn("partition", (F.monotonically_increasing_id() % partitions).cast("int"))
     key = F.get_json_object("value", f"$.{field}") if how == "field" else F.col("key")
     return df.withColumn("partition", F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int"))
 
 
-def gate(df: DataFrame, signals: DataFrame, ts: str, buffer: bool = True, open_first: bool = True) -> DataFrame:
+def gate(df: DataFrame, signals: DataFrame, ts: str, buffer: bool = True, open_first: bool = True, slice_seconds: int = 86_400) -> DataFrame:
     """Records that a gate lets through, with ``released_at``. ``signals`` (ts, is_open) open and close it; while it is closed records wait
-    for the next opening if ``buffer``, else they are dropped."""
-    both = df.select(F.col(ts).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("boolean").alias("__open"), F.struct(*df.columns).alias("__r")).unionByName(
-        signals.select(F.col("ts").alias("__t"), F.lit(0).alias("__side"), F.col("is_open").alias("__open"), F.lit(None).alias("__r"))
+    for the next opening if ``buffer``, else they are dropped.
+
+    Time is cut into slices that are worked on apart; each slice knows the state that earlier ones leave and the next opening in later
+    ones from one row a slice, so no task sees the whole stream.
+    """
+    cell = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / slice_seconds).cast("bigint")
+    sent = signals.select(F.col("ts").alias("__t"), F.col("is_open").alias("__open"), cell(F.col("ts")).alias("__c"))
+    both = df.select(F.col(ts).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("boolean").alias("__open"), F.struct(*df.columns).alias("__r"), cell(F.col(ts)).alias("__c")).unionByName(
+        sent.select("__t", F.lit(0).alias("__side"), "__open", F.lit(None).alias("__r"), "__c")
     )
-    w = Window.orderBy("__t", "__side")
-    state = F.coalesce(F.last("__open", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(open_first))
-    opening = F.first(F.when(F.col("__open"), F.col("__t")), True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    out = both.withColumn("released_at", F.when(state, F.col("__t")).otherwise(opening if buffer else F.lit(None))).where("__r is not null and released_at is not null")
-    return out.select("__r.*", "released_at")
+    slices = both.groupBy("__c").agg(
+        F.max_by("__open", F.when(F.col("__side") == 0, F.col("__t"))).alias("left"), F.min(F.when(F.col("__open"), F.col("__t"))).alias("opens")
+    )
+    w = Window.orderBy("__c")
+    slices = slices.select("__c", F.last("left", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__was"), F.first("opens", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__then"))
+    within = Window.partitionBy("__c").orderBy("__t", "__side")
+    state = F.coalesce(F.last("__open", True).over(within.rowsBetween(Window.unboundedPreceding, 0)), F.col("__was"), F.lit(open_first))
+    opening = F.coalesce(F.first(F.when(F.col("__open"), F.col("__t")), True).over(within.rowsBetween(0, Window.unboundedFollowing)), F.col("__then"))
+    out = both.join(slices, "__c").withColumn("released_at", F.when(state, F.col("__t")).otherwise(opening if buffer else F.lit(None)))
+    return out.where("__r is not null and released_at is not null").select("__r.*", "released_at")
 
 
 def wait_for_input(left: DataFrame, right: DataFrame, key: str, ts: str, timeout: str) -> tuple[DataFrame, DataFrame]:
