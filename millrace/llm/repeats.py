@@ -23,7 +23,8 @@ from .textnum import blocks, mix, powers
 
 GRAM = 32
 PLACE = np.uint64((1 << 24) - 1)
-PIECE = 2_000_000
+#: Bytes of text that are parsed at once, and that share a dictionary before the shuffle.
+PIECE, BLOCK = 1_000_000, 2_000_000
 
 
 def _sums(raw: np.ndarray) -> np.ndarray:
@@ -102,7 +103,7 @@ def _emit(rows: list[tuple], names: list[str], kinds: list[pa.DataType], at_once
 def _send_triggers(shards: int, span: int):
     def run(batches):
         for batch in batches:
-            for a, b in blocks(batch.column(1), PIECE):
+            for a, b in blocks(batch.column(1), BLOCK):
                 ids = batch.column(0).slice(a, b - a).to_numpy()
                 p = Phrases([x or b"" for x in batch.column(1).slice(a, b - a).to_pylist()], span, False)
                 shard = (p.trigger >> np.uint64(33)).astype(np.int64) % shards
@@ -147,7 +148,7 @@ def _send_phrases(shards: int, span: int):
 
     def run(batches):
         for batch in batches:
-            for a, b in blocks(batch.column(1), PIECE):
+            for a, b in blocks(batch.column(1), BLOCK):
                 ids = batch.column(0).slice(a, b - a).to_numpy()
                 wanted = batch.column(2).slice(a, b - a).to_pylist()
                 texts = [(x or b"") if w else b"" for x, w in zip(batch.column(1).slice(a, b - a).to_pylist(), wanted, strict=True)]
@@ -288,6 +289,25 @@ def _cut(names: list[str]):
     return run
 
 
+def _wanted(lines: DataFrame, span: int) -> DataFrame:
+    """(uid, wanted): for each text the ordinals of its phrases whose trigger occurs elsewhere too."""
+    shards = 2 * width(lines.sparkSession)
+    sent = lines.select("__uid", "__bytes").mapInArrow(_send_triggers(shards, span), "shard int, ids binary, local binary, ordinal binary, trigger binary")
+    found = sent.groupBy("shard").applyInArrow(_repeated_triggers, "uid bigint, data binary")
+    return staged(found.groupBy("uid").agg(F.collect_list("data").alias("wanted")), "repeats-wanted")
+
+
+def _spans(lines: DataFrame, copies: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
+    """(__uid, __spans): for each text its repeated byte ranges, packed. Of equal texts only the one of least id is looked at."""
+    release(lines.sparkSession)
+    shards = 2 * width(lines.sparkSession)
+    asked = lines.select("__uid", "__h", "__bytes").join(hinted(copies, 2_000_000), "__h", "left").where("lead is null or lead = __uid")
+    asked = asked.join(wanted.withColumnRenamed("uid", "__uid"), "__uid").select("__uid", "__bytes", "wanted")
+    phrases = asked.mapInArrow(_send_phrases(shards, span), "shard int, trigger binary, whole binary, windows binary, text binary, many binary, ids binary, local binary, start binary")
+    met = phrases.groupBy("shard").applyInArrow(_repeated_windows(span), "uid bigint, data binary")
+    return staged(met.groupBy(F.col("uid").alias("__uid")).agg(F.collect_list("data").alias("__spans")), "repeats-spans")
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", span: int = 200) -> DataFrame:
     """``docs`` with ``kept`` (binary) and ``removed`` (array of byte ranges) instead of ``text``.
 
@@ -301,19 +321,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", span: int = 200) -> Data
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(*rest, raw.alias("__bytes"), F.xxhash64(raw).alias("__h"))
     rows = rows.withColumn("__uid", F.xxhash64(*[c for c in rest if c == "doc_id"], F.col("__h"), F.lit(span)))
-    shards = 2 * width(spark)
-    lines = rows.select("__uid", "__bytes").where(F.octet_length("__bytes") >= span)
-    sent = lines.mapInArrow(_send_triggers(shards, span), "shard int, ids binary, local binary, ordinal binary, trigger binary")
-    wanted = sent.groupBy("shard").applyInArrow(_repeated_triggers, "uid bigint, data binary").groupBy("uid").agg(F.collect_list("data").alias("wanted"))
-    wanted = staged(wanted, "repeats-wanted")
-    copies = rows.where(F.octet_length("__bytes") >= span).groupBy("__h").agg(F.count(F.lit(1)).alias("n"), F.min("__uid").alias("lead"))
+    lines = rows.where(F.octet_length("__bytes") >= span)
+    copies = lines.groupBy("__h").agg(F.count(F.lit(1)).alias("n"), F.min("__uid").alias("lead"))
     copies = staged(copies.where("n > 1").select("__h", "lead"), "repeats-copies")
-    release(spark)
-    asked = rows.select("__uid", "__h", "__bytes").join(hinted(copies, 2_000_000), "__h", "left").where("lead is null or lead = __uid")
-    asked = asked.join(wanted.withColumnRenamed("uid", "__uid"), "__uid").select("__uid", "__bytes", "wanted")
-    phrases = asked.mapInArrow(_send_phrases(shards, span), "shard int, trigger binary, whole binary, windows binary, text binary, many binary, ids binary, local binary, start binary")
-    met = phrases.groupBy("shard").applyInArrow(_repeated_windows(span), "uid bigint, data binary")
-    spans = staged(met.groupBy(F.col("uid").alias("__uid")).agg(F.collect_list("data").alias("__spans")), "repeats-spans")
+    spans = _spans(lines, copies, _wanted(lines, span), span)
     release(spark)
     marked = rows.join(hinted(copies.select("__h", F.lit(True).alias("__copied")), 2_000_000), "__h", "left").join(spans, "__uid", "left")
     marked = marked.withColumn("__copied", F.coalesce("__copied", F.lit(False)))
