@@ -212,3 +212,27 @@ def test_pipelines_queries_questions(spark, tmp_path):
     assert rows(files.read_csv(spark, str(tmp_path / "x.csv")))[0] == ("1", "2")
     assert files.incremental(spark.range(5), "id", 2).count() == 2
     assert files.generate(spark, 20).select("key").distinct().count() == 10
+
+
+def test_continuous_queries(spark, sf_dir, tmp_path):
+    from millrace.plans.views import ContinuousQueries
+    from millrace.streaming.run import replay
+
+    running, seen = ContinuousQueries(most=1), []
+    stream = replay(spark, sf_dir, "events").groupBy("event_type").count()
+    query = running.start("counts", stream, lambda batch, n: seen.append(batch.count()), str(tmp_path / "c"), mode="complete", availableNow=True)
+    query.awaitTermination()
+    assert seen and set(seen) == {5} and running.list() == {"counts": False}
+    running.stop("counts")
+    assert running.list() == {}
+
+
+def test_after_match(spark):
+    rows = [("k", i, s) for i, s in enumerate("aabab")]
+    df = spark.createDataFrame(rows, "k string, i int, s string").withColumn("ts", F.lit(BASE) + F.make_dt_interval(secs=F.col("i")))
+    p = cep.Pattern.begin("a", F.col("s") == "a").one_or_more().next("b", F.col("s") == "b")
+    find = lambda after: sorted((r.start_id, r.end_id) for r in cep.match_quantified(df, p, ["k"], "ts", ["i"], "i", after).collect())
+    assert find("past_last") == [(0, 2), (3, 4)]
+    assert find("no_skip") == [(0, 2), (1, 2), (3, 4)]
+    assert find(("to_last", "a")) == [(0, 2), (1, 2), (3, 4)]
+    assert find(("to_first", "b")) == [(0, 2), (3, 4)]
