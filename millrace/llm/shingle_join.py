@@ -233,14 +233,16 @@ def _filtered(pairs: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def _across(groups: DataFrame, profile: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of different components within a group that sizes and sketches allow: no more rows than those leave a task."""
-    members = groups.select(F.xxhash64("docs").alias("g"), F.explode("docs").alias("id")).distinct()
-    placed = members.join(parts, "id", "left").withColumn("c", F.coalesce("component_id", "id")).select("g", "id", "c")
+    """Pairs of different components within a group that sizes and sketches allow: no other rows leave a task."""
+    members = groups.select(F.xxhash64("docs").alias("g"), F.get("docs", F.lit(0)).alias("lead"), F.explode("docs").alias("id")).distinct()
+    placed = members.join(parts, "id", "left").withColumn("c", F.coalesce("component_id", "id")).select("g", "lead", "id", "c")
     placed = staged(placed, "shingle-members")
     mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
     open_ = staged(placed.join(mixed, "g", "left_semi"), "shingle-open")
     known = profile.select(F.col("doc_id").alias("id"), "n", "sketch")
-    laid = open_.join(known, "id").select("g", "c", "id", "n", "sketch").repartition(width(groups.sparkSession), "g").sortWithinPartitions("g", "n")
+    # groups of one least id share most of their pairs: few tasks get them, and each task puts a pair out once
+    laid = open_.join(known, "id").select("g", "c", "id", "n", "sketch", "lead").repartition(width(groups.sparkSession), "lead", F.pmod("g", F.lit(4)))
+    laid = laid.sortWithinPartitions("g", "n").drop("lead")
 
     def enumerate_(rows: list[tuple], found: set) -> None:
         n = np.array([r[3] for r in rows])
