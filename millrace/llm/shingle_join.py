@@ -21,6 +21,8 @@ from .components import connected_components
 from .textnum import SPACE, Buffer, blocks, mix
 
 WORDS = 5
+#: Rows of candidate groups with one least id that go to one task.
+SPREAD = 5_000
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 LIMITS = [1]
 while LIMITS[-1] < 1 << 40:
@@ -240,9 +242,11 @@ def _across(groups: DataFrame, profile: DataFrame, parts: DataFrame) -> DataFram
     mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
     open_ = staged(placed.join(mixed, "g", "left_semi"), "shingle-open")
     known = profile.select(F.col("doc_id").alias("id"), "n", "sketch")
-    # groups of one least id share most of their pairs: few tasks get them, and each task puts a pair out once
-    laid = open_.join(known, "id").select("g", "c", "id", "n", "sketch", "lead").repartition(width(groups.sparkSession), "lead", F.pmod("g", F.lit(4)))
-    laid = laid.sortWithinPartitions("g", "n").drop("lead")
+    # groups of one least id share most of their pairs: they go to one task, which puts a pair out once, or to more tasks where they are many
+    spread = open_.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("tasks"))
+    dealt = open_.join(spread, "lead").withColumn("deal", F.pmod("g", F.col("tasks")))
+    laid = dealt.join(known, "id").select("g", "c", "id", "n", "sketch", "lead", "deal").repartition(width(groups.sparkSession), "lead", "deal")
+    laid = laid.sortWithinPartitions("g", "n").drop("lead", "deal")
 
     def enumerate_(rows: list[tuple], found: set) -> None:
         n = np.array([r[3] for r in rows])
