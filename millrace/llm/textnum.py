@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def blocks(texts: pa.Array, most: int = 4_000_000):
+def blocks(texts: pa.Array, most: int = 1_500_000):
     """(from, to) ranges of rows with some ``most`` bytes each; a longer text is a block of its own."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
