@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .common import text_batches
 from .textnum import blocks
 
 BUCKETS = 65_521
@@ -211,6 +212,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     than its words. A null or empty text has no ids; repeated rows are encoded alike; other columns pass through unchanged, whatever
     their names, but for one named like ``ids``, which is replaced; an empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     docs = docs.drop(ids) if ids != text else docs
     kept = [c for c in docs.columns if c != text]

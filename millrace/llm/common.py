@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+_local: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``; a local one of its own only where it is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="millrace-"))
     return base.rstrip("/")
 
 
@@ -34,8 +37,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` holds at most ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df``, a staged table, holds at most ``rows`` rows: Parquet's footers tell."""
+    return df.count() <= rows
 
 
 def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -55,5 +58,14 @@ def fold(column: str | object, divisor: int = 5):
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now: they go once the driver has collected what named them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first collection frees may have held more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand texts to Python in batches of at most ``rows`` rows: whole texts are long, and a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)

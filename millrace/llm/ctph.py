@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import width
+from .common import text_batches, width
 
 MOST = 63
 SPAN = 7
@@ -185,4 +185,5 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
+    text_batches(docs.sparkSession)
     return with_next(docs, use, EDITED)

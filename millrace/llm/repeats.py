@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, release, staged, width
+from .common import hinted, release, staged, text_batches, width
 from .textnum import blocks, mix, powers
 
 GRAM = 32
@@ -317,6 +317,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", span: int = 200) -> Data
     64-bit hash of id and text, phrases and windows by 64-bit hashes.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rest = [c for c in docs.columns if c not in (text, "kept", "removed")]
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(*rest, raw.alias("__bytes"), F.xxhash64(raw).alias("__h"))

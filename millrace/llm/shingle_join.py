@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, staged, width
+from .common import hinted, staged, text_batches, width
 from .components import connected_components
 from .textnum import SPACE, Buffer, blocks, mix
 
@@ -244,7 +244,7 @@ def _across(groups: DataFrame, profile: DataFrame, parts: DataFrame) -> DataFram
     known = profile.select(F.col("doc_id").alias("id"), "n", "sketch")
     # groups of one least id share most of their pairs: they go to one task, which puts a pair out once, or to more tasks where they are many
     spread = open_.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / SPREAD).alias("tasks"))
-    dealt = open_.join(spread, "lead").withColumn("deal", F.pmod("g", F.col("tasks")))
+    dealt = open_.join(hinted(staged(spread, "shingle-spread")), "lead").withColumn("deal", F.pmod("g", F.col("tasks")))
     laid = dealt.join(known, "id").select("g", "c", "id", "n", "sketch", "lead", "deal").repartition(width(groups.sparkSession), "lead", "deal")
     laid = laid.sortWithinPartitions("g", "n").drop("lead", "deal")
 
@@ -292,6 +292,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     without a doc_id link with nothing. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id is not null")
     shards = 2 * width(spark)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, text_batches
 from .textnum import NON_WORD, Buffer, blocks, mix
 
 #: Salts of the feature kinds: whole word, first 3, 4, 5, 6 bytes, last 4 bytes.
@@ -134,6 +134,7 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, d: int, target: np.nda
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, most_features: int = 4_000, least: float = 24.0, strong: float = 3.5, voters: int = 8) -> Model:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1); without labels of both classes scores are the share of ones."""
+    text_batches(docs.sparkSession)
     rows = staged(training_rows(docs, labels, fit_rows), "toxicity-rows")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, other = sizes.get(1, 0), sum(v for k, v in sizes.items() if k != 1)
@@ -184,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, most_feature
 
 def add_score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 for each whole text (null: empty); other columns, rows and repeats stay as they are."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(out)
 
