@@ -123,14 +123,15 @@ def _deal(shards: int):
             for a, b in blocks(batch.column(1)):
                 ids = batch.column(0).slice(a, b - a).to_numpy()
                 rows, codes = shingles(batch.column(1).slice(a, b - a))
+                leads = np.flatnonzero(batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False))
                 sizes = np.bincount(rows, minlength=len(ids))
                 whole = np.zeros(len(ids), np.uint64)
                 edges = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else []
                 if len(rows):
                     whole[rows[edges]] = np.add.reduceat(mix(codes + np.uint64(7)), edges)
-                _, first = np.unique(np.stack([sizes.astype(np.uint64), whole], 1), axis=0, return_index=True)
+                _, first = np.unique(np.stack([sizes.astype(np.uint64), whole], 1)[leads], axis=0, return_index=True)
                 lead = np.zeros(len(ids), bool)
-                lead[first] = True
+                lead[leads[first]] = True
                 out = [(-1 - int(ids[0]) % shards, ids.tobytes(), sizes.astype(np.int64).tobytes(), whole.tobytes(), parity_sketches(rows, codes, sizes))]
                 keep = lead[rows]
                 row, key = part_keys(rows[keep], codes[keep], np.where(lead, sizes, 0))
@@ -194,6 +195,18 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else _met(0)
 
 
+def _leads(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, leads): of a text's copies only the one of least id leads.
+
+    Copies that don't lead send no parts: their equal sets link them. A group with a third of all rows is thus one row where parts meet.
+    """
+    same = [F.xxhash64("text").alias("h"), F.octet_length("text").alias("size")]
+    counted = docs.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead"))
+    copied = staged(counted.where("n > 1").select("h", "size", "lead"), "shingle-copied")
+    keyed = docs.select("doc_id", "text", *same).join(hinted(copied), ["h", "size"], "left")
+    return keyed.select("doc_id", "text", F.coalesce(F.col("doc_id") == F.col("lead"), F.lit(True)).alias("leads"))
+
+
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, codes) of the documents in ``ids``: their shingles' hashes."""
 
@@ -296,7 +309,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id is not null")
     shards = 2 * width(spark)
-    packed = known.mapInArrow(_deal(shards), PACKED)
+    packed = _leads(known).mapInArrow(_deal(shards), PACKED)
     met = staged(packed.groupBy("shard").applyInArrow(_meet, MET), "shingle-met")
     profile = met.where("kind = 0").select(F.col("a").alias("doc_id"), "n", F.col("b").alias("h"), "sketch")
     stars = met.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))

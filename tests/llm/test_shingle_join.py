@@ -83,3 +83,13 @@ def test_null_empty_repeated_and_long(spark):
     out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in shingle_join.near_duplicate_groups(table).collect()), key=str)
     assert out == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 59996, 4), (4, 59996, 4), (5, 59997, 4), (None, 1, None), (None, 0, None), (6, 1, 6), (7, 1, 6)], key=str)
     assert shingle_join.near_duplicate_groups(table.limit(0)).count() == 0
+
+
+def test_copies_send_parts_once_and_lose_no_link(spark):
+    rows = corpus(4, 80)
+    text = " ".join(f"w{k}" for k in range(200))
+    near = text.replace("w100 ", "other ")
+    rows += [(10_000 - k, text) for k in range(60)] + [(20_000, near), (5, near + " end"), (20_001, text.upper())]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in shingle_join._leads(table).where("leads").where(f"text = '{text}'").collect()] == [9_941]
+    assert got(spark, rows) == brute(rows)
