@@ -3,6 +3,7 @@
 Reading cuts files at every ``WARC/1.`` into fragments. Each fragment is a candidate: where its header parses, the
 content length gives the offset of the record that follows it. Pointer jumping from the start of each file, twice as far in
 every round, marks the candidates that the chain reaches; others lie inside payloads and are joined back to their record.
+A header that holds the magic itself, as in a url, goes on through the following fragments up to its blank line.
 """
 
 from __future__ import annotations
@@ -76,6 +77,21 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, records_
     marked.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _outline(fragment: bytes) -> tuple[bool, int | None, int | None]:
+    """Whether a fragment begins a header, where its first blank line is, and the first content length among its whole lines before that.
+
+    What stands before the first line end belongs to the version or to a line that the magic cut, and so does what follows the last.
+    """
+    end = fragment.find(b"\r\n\r\n")
+    for field in fragment[:end].split(b"\r\n")[1:] if end >= 0 else fragment.split(b"\r\n")[1:-1]:
+        name, colon, value = field.partition(b":")
+        if colon and name.strip().lower() == b"content-length" and value.strip().isdigit():
+            break
+    else:
+        value = None
+    return fragment[:3] in (b"0\r\n", b"1\r\n"), end if end >= 0 else None, int(value) if value is not None else None
+
+
 def _header(fragment: bytes) -> tuple[int, int] | None:
     """(bytes up to the record's block, content length) of a fragment that begins after the magic, if it is a header."""
     if fragment[:3] not in (b"0\r\n", b"1\r\n"):
@@ -88,11 +104,11 @@ def _header(fragment: bytes) -> tuple[int, int] | None:
     return None
 
 
-FRAGMENT = "fid bigint, block bigint, frag bigint, at bigint, size bigint, need bigint, value binary"
+FRAGMENT = "fid bigint, block bigint, frag bigint, at bigint, size bigint, opens boolean, blank bigint, length bigint, value binary"
 
 
 def _fragments(spark: SparkSession, path: str, with_value: bool) -> DataFrame:
-    """The pieces between magics: file, block (split), number and offset in the block, size, bytes to the next record."""
+    """The pieces between magics: file, block (split), number and offset in the block, size, outline."""
     lines = spark.read.option("lineSep", MAGIC).text(path).select(
         F.xxhash64("_metadata.file_path").alias("fid"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value")
     )
@@ -104,22 +120,39 @@ def _fragments(spark: SparkSession, path: str, with_value: bool) -> DataFrame:
             for fid, block, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != (fid, block):
                     now, k, at = (fid, block), 0, 0
-                head = _header(value)
-                rows.append((fid, block, k, at, len(value), len(MAGIC) + head[0] + head[1] + 4 if head else None, value if with_value else None))
+                rows.append((fid, block, k, at, len(value), *((None, None, None) if with_value else _outline(value)), value if with_value else None))
                 k, at = k + 1, at + len(value) + len(MAGIC)
-            types = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=["fid", "block", "frag", "at", "size", "need", "value"])
+            names = [x.split(" ", 1)[0] for x in FRAGMENT.split(", ")]
+            types = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 2 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, types, strict=True)], names=names)
 
     return lines.mapInArrow(number, FRAGMENT)
 
 
+def _needs(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``need``, the bytes from a header to the next record, instead of the outline.
+
+    A header that the magic cut ends at the first blank line of a later fragment; its length stands in any fragment up to that one.
+    """
+    outline = ("opens", "blank", "length")
+    need = F.col("blank") + F.col("length") + len(MAGIC) + 8
+    cut = F.col("opens") & F.col("blank").isNull()
+    if placed.where(cut).isEmpty():
+        return placed.withColumn("need", F.when(F.col("opens"), need)).drop(*outline)
+    back = Window.partitionBy("fid").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = placed.withColumn("end", F.last(F.when(F.col("blank").isNotNull(), F.struct("pos", "blank")), True).over(back))
+    ahead = ahead.withColumn("told", F.last(F.when(F.col("length").isNotNull(), F.struct("pos", "length")), True).over(back))
+    far = F.when(F.col("told.pos") <= F.col("end.pos"), F.col("end.pos") - F.col("pos") + F.col("end.blank") + F.col("told.length") + len(MAGIC) + 8)
+    return ahead.withColumn("need", F.when(F.col("opens"), F.when(cut, far).otherwise(need))).drop(*outline, "end", "told")
+
+
 def verify_chain(spark: SparkSession, path: str) -> DataFrame:
     """Each fragment with its offset, its bytes to the next record, and whether the chain from the file's start reaches it."""
     frags = staged(_fragments(spark, path, False).drop("value"), "warc-fragments")
     sizes = frags.groupBy("fid", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     base = sizes.withColumn("base", F.coalesce(F.sum("bytes").over(Window.partitionBy("fid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("bytes")
     placed = frags.join(base, ["fid", "block"]).withColumn("pos", F.col("base") + F.col("at") - len(MAGIC)).drop("base", "at")
-    placed = staged(placed.where("pos >= 0"), "warc-offsets")
+    placed = staged(_needs(placed.where("pos >= 0")), "warc-offsets")
     nodes = placed.select("fid", "pos", (F.col("pos") + F.col("need")).alias("jump"), (F.col("pos") == 0).alias("reached"))
     reached, rounds = -1, 0
     while (now := nodes.where("reached").count()) > reached:

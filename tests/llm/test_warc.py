@@ -61,3 +61,29 @@ def test_chain_rounds_reach_a_long_file(spark):
     back, path = read_back(spark, rows)
     assert len(back) == 300
     assert warc.verify_chain(spark, path).where(~F.col("reached")).count() == 0
+
+
+def test_headers_with_magic_inside_lose_no_record(spark):
+    urls = ["http://x/WARC/1.0/spec", "http://x/WARC/1.1", "WARC/1.WARC/1.", "http://x/WARC/1.1\r\nContent-Length: 3\r\n\r\nWARC/1.0", "u" * 900 + "WARC/1.0" + "v" * 900 + "WARC/1.1", "plain", None]
+    rows = [(i, urls[i % 7], f"page {i // 2}" if i % 3 else TRICK + str(i) + "WARC/1.1\r\nWARC/1.1\r\nA: b", "d", "f") for i in range(14)]
+    for size in ("128m", "997b"):
+        back, path = read_back(spark, rows, **{"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": "1b"})
+        assert sorted(back) == list(range(14))
+        for i, url, html, _, _ in rows:
+            assert back[i].target_uri == (url.replace("\r", "%0D").replace("\n", "%0A") if url else None)
+            assert int(back[i].http_headers["content-length"]) == len(html)
+            assert bytes(back[i].payload) == (html.encode() if back[i].warc_type == "response" else b"")
+    assert sum(r.warc_type == "revisit" for r in back.values()) == len(rows) - len({r[2] for r in rows})
+
+
+def test_length_before_and_after_a_cut_of_the_header(spark, tmp_path):
+    record = lambda head, body: f"WARC/1.1\r\n{head}\r\n\r\n{body}\r\n\r\n"
+    parts = [
+        record("WARC-Record-ID: a\r\nContent-Length: 2\r\nX: WARC/1.0\r\nContent-Length: 9", "aa"),
+        record("WARC-Record-ID: b\r\nContent-Length: 7WARC/1.1\r\nX-WARC/1.Content-Length: 8\r\nContent-Length: 3", "bbb"),
+        record("WARC-Record-ID: c\r\nX: WARC/1.0\r\nContent-Length: 0", ""),
+        record("WARC-Record-ID: d\r\nContent-Length: 4", "dddd"),
+    ]
+    (tmp_path / "x.warc").write_bytes("".join(parts).encode())
+    back = {r.record_id: bytes(r.payload) for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert back == {"a": b"aa", "b": b"bbb", "c": b"", "d": b"dddd"}
