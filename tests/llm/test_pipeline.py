@@ -33,6 +33,18 @@ def test_near_duplicates_keep_one_of_each_group(spark, sf_dir):
     assert sorted(r.doc_id for r in kept) == [2, 7, 8, 10, 11]
 
 
+def test_repeated_rows_and_null_ids_keep_one_text_of_each_group(spark, sf_dir):
+    text = lambda k: " ".join(f"{k}{i * i % 977}" for i in range(300))
+    rows = [(1, text("a")), (1, text("a")), (None, text("b")), (4, text("b")), (None, text("c")), (None, text("c")), (None, text("d") + " more"), (-3, text("d"))]
+    rows += [(5, text("e")), (5, text("f")), (6, text("f") + " more"), (7, text("g")), (7, text("g") + " more"), (8, None), (8, None), (9, "?" * 300), (10, "?" * 300)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), sf_dir)
+    kept = spark.createDataFrame(kept.collect(), COLUMNS)
+    found = {(r.doc_id, (r.text or "")[:1]) for r in kept.collect()}
+    assert found == {(1, "a"), (4, "b"), (None, "c"), (-3, "d"), (5, "e"), (5, "f"), (7, "g"), (8, ""), (9, "?")}
+    assert kept.count() == 9
+    assert all(len(r.text) >= 300 for r in corpus_pipeline.drop_repeats(spark, kept, sf_dir).collect() if r.doc_id not in (8, 9))
+
+
 def test_repeats_go_and_texts_stay_valid(spark, sf_dir):
     shared = "".join(hashlib.sha256(str(i).encode()).hexdigest()[:9] + " " for i in range(40))
     rows = [(1, "é" + shared + "é alpha"), (2, "ê" + shared + "ê beta"), (3, "gamma"), (4, None)]
