@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,15 +144,23 @@ def match_any(df: DataFrame, first: Column, second: Column, keys: list[str], ts:
 
 
 def _regex(pattern: Pattern) -> re.Pattern:
+    """Events in angle brackets can be taken; what is forbidden is also seen in events in braces, which lie beyond the time limit."""
     parts = []
     for k, s in enumerate(pattern.steps):
         symbol = f"(?:<[01]{{{k}}}1[01]{{{len(pattern.steps) - k - 1}}}>)"
         skip = "(?:<[01]+>)*?" if s.how.startswith("followed_by") else ""
         count = "" if (s.least, s.most) == (1, 1) else f"{{{s.least},{'' if s.most is None else s.most}}}" + ("" if s.greedy else "?")
-        parts.append(f"{skip}(?P<s{k}>{symbol}{count})" if s.how not in ("not_next", "not_followed_by") else f"(?!{'(?:<[01]+>)*?' if s.how == 'not_followed_by' else ''}{symbol})")
+        parts.append(f"{skip}(?P<s{k}>{symbol}{count})" if s.how not in ("not_next", "not_followed_by") else f"(?!{'(?:[<{][01]+[>}])*?' if s.how == 'not_followed_by' else ''}{symbol.replace('<', '[<{]').replace('>', '[>}]')})")
     return re.compile("".join(parts))
 
 
+def _bounded(expression: re.Pattern, text: str, at: int, end: int) -> tuple[re.Match | None, int]:
+    """The match that starts at ``at`` and takes nothing from ``end`` on, and how far its places lie from those in ``text``."""
+    if "(?!" not in expression.pattern:
+        return expression.match(text, at, end), 0
+    return expression.match(text[at:end] + text[end:].translate({60: "{", 62: "}"})), at
+
+
 def match_quantified(df: DataFrame, pattern: Pattern, keys: list[str], ts: str, order: list[str], event: str, after: str | tuple[str, str] = "past_last") -> DataFrame:
     """Matches of patterns with quantifiers: keys, start_id, end_id, n_events.
 
@@ -165,12 +174,12 @@ def match_quantified(df: DataFrame, pattern: Pattern, keys: list[str], ts: str,
     limit = pd.Timedelta(pattern.limit) if pattern.limit else None
     names = {s.name: k for k, s in enumerate(pattern.steps)}
 
-    def resume(m: re.Match, a: int) -> int:
+    def resume(m: re.Match, a: int, shift: int) -> int:
         if after == "past_last":
-            return m.end()
+            return m.end() + shift
         if isinstance(after, tuple):
             begin, end = m.span(f"s{names[after[1]]}")
-            place = begin if after[0] == "to_first" else end - width
+            place = (begin if after[0] == "to_first" else end - width) + shift
             return max(place, (a + 1) * width)
         return (a + 1) * width
 
@@ -181,11 +190,15 @@ def match_quantified(df: DataFrame, pattern: Pattern, keys: list[str], ts: str,
         group = group.sort_values([f"__o{k}" for k in range(len(order))])
         text, at, out = "".join(group["__s"]), 0, []
         ids, times = group["__id"].to_numpy(), group["__ts"].to_numpy()
-        while (m := expression.search(text, at)) is not None:
-            a, b = m.start() // width, m.end() // width
-            if b > a and (limit is None or pd.Timedelta(times[b - 1] - times[a]) <= limit):
+        far = np.searchsorted(times, times + limit.to_timedelta64(), "right") if limit is not None else None
+        while at < len(text):
+            m, shift = (expression.search(text, at), 0) if limit is None else _bounded(expression, text, at, int(far[at // width]) * width)
+            if m is None and limit is None:
+                break
+            a, b = ((m.start() + shift) // width, (m.end() + shift) // width) if m else (at // width,) * 2
+            if b > a:
                 out.append((*group.iloc[0][keys], ids[a], ids[b - 1], b - a))
-                at = resume(m, a)
+                at = resume(m, a, shift)
             else:
                 at = (a + 1) * width
         return pd.DataFrame(out, columns=[*keys, "start_id", "end_id", "n_events"])

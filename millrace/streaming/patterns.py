@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.cep import Pattern, _regex
+from ..operators.cep import Pattern, _bounded, _regex
 
 
 class Matcher(StatefulProcessor):
@@ -30,13 +31,23 @@ class Matcher(StatefulProcessor):
         held = json.loads(self.state.get()[0]) if self.state.exists() else []
         held = sorted(held + [[r.ms, r.id, r.symbol] for r in rows])
         text, at, keep = "".join(e[2] for e in held), 0, 0
-        while (m := self.expression.search(text, at)) is not None:
-            a, b = m.start() // self.width, m.end() // self.width
+        while at < len(text):
+            if self.limit is None:
+                m, shift = self.expression.search(text, at), 0
+                if m is None:
+                    break
+            else:
+                first = at // self.width
+                m, shift = _bounded(self.expression, text, at, bisect_right(held, held[first][0] + self.limit, key=lambda e: e[0]) * self.width)
+                if m is None:
+                    at += self.width
+                    continue
+            a, b = (m.start() + shift) // self.width, (m.end() + shift) // self.width
             if b == len(held) and any(q in self.expression.pattern for q in (",}", "*", "+")):
                 break  # a later event may lengthen it
-            if b > a and (self.limit is None or held[b - 1][0] - held[a][0] <= self.limit):
+            if b > a:
                 yield Row(key=key[0], start_id=held[a][1], end_id=held[b - 1][1], n_events=b - a)
-                at = m.end()
+                at = m.end() + shift
             else:
                 at = (a + 1) * self.width
             keep = at // self.width

@@ -236,3 +236,34 @@ def test_after_match(spark):
     assert find("no_skip") == [(0, 2), (1, 2), (3, 4)]
     assert find(("to_last", "a")) == [(0, 2), (1, 2), (3, 4)]
     assert find(("to_first", "b")) == [(0, 2), (3, 4)]
+
+
+@pytest.mark.parametrize("least, most", [(1, None), (2, 3), (2, None)])
+def test_quantified_within_equals_brute_force(spark, least, most):
+    minutes = {1: [0, 30, 120], 2: [0, 10, 20, 50, 60, 61, 125, 126, 200, 260], 3: [0, 61, 122]}
+    table = spark.createDataFrame([(k, k * 100 + i, BASE + dt.timedelta(minutes=m)) for k, at in minutes.items() for i, m in enumerate(at)], "k int, id long, ts timestamp_ntz")
+    begin = cep.Pattern.begin("a", F.lit(True))
+    pattern = (begin.one_or_more() if (least, most) == (1, None) else cep.Pattern((cep.Step("a", F.lit(True), least=least, most=most),))).within("1 hour")
+    want = []
+    for k, at in minutes.items():
+        i = 0
+        while i < len(at):
+            n = min(sum(at[i] <= m <= at[i] + 60 for m in at[i:]), most or len(at))
+            if n >= least:
+                want.append((k, k * 100 + i, k * 100 + i + n - 1, n))
+            i += n if n >= least else 1
+    assert rows(cep.match_quantified(table, pattern, ["k"], "ts", ["ts", "id"], "id")) == want
+
+
+def test_stream_matcher_within_takes_the_shorter_run():
+    from types import SimpleNamespace
+
+    from millrace.streaming.patterns import Matcher
+
+    matcher = object.__new__(Matcher)
+    matcher.expression, matcher.width, matcher.limit = cep.re.compile("(?P<s0>(?:<1>){1,})"), 3, 60
+    kept = []
+    matcher.state = SimpleNamespace(exists=lambda: bool(kept), get=lambda: kept[-1], update=kept.append)
+    event = lambda m: SimpleNamespace(ms=m, id=m, symbol="<1>")
+    found = [tuple(r) for batch in ([0, 30, 120], [130, 200]) for r in matcher.handleInputRows(("k",), iter([event(m) for m in batch]), None)]
+    assert found == [("k", 0, 30, 2), ("k", 120, 130, 2)]
