@@ -300,6 +300,32 @@ def upsert_newer(spark, sf):
     return _upsert(spark, sf, "insert_or_update_if_newer")
 
 
+def _upsert_whole(spark, sf, strategy):
+    """Each customer's latest order as the target, all customers as new rows; customers without orders are inserted."""
+    o = table(spark, sf, "orders")
+    target = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("c_acctbal"))
+    rows = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    return sinks.upsert(target, rows, ["c_custkey"], strategy, "c_acctbal")
+
+
+_UP_WHOLE = "WITH t AS (SELECT o_custkey AS c_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS b FROM orders GROUP BY o_custkey) SELECT c_custkey, {} AS c_acctbal FROM customer c FULL JOIN t USING (c_custkey)"
+
+
+@query("upsert_update_whole", _UP_WHOLE.format("CASE WHEN c.c_name IS NULL THEN b ELSE c_acctbal END"))
+def upsert_update_whole(spark, sf):
+    return _upsert_whole(spark, sf, "insert_or_update")
+
+
+@query("upsert_skip_whole", _UP_WHOLE.format("coalesce(b, c_acctbal)"))
+def upsert_skip_whole(spark, sf):
+    return _upsert_whole(spark, sf, "insert_or_skip")
+
+
+@query("upsert_newer_whole", _UP_WHOLE.format("CASE WHEN b IS NULL OR c_acctbal > b THEN c_acctbal ELSE b END"))
+def upsert_newer_whole(spark, sf):
+    return _upsert_whole(spark, sf, "insert_or_update_if_newer")
+
+
 @query("dead_letters", "SELECT doc_id, 'not a number' AS error FROM documents WHERE TRY_CAST(substr(source, 4) AS INT) IS NULL OR substr(source, 4) = '3'")
 def dead_letters(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.nullif(F.substring("source", 4, 9), F.lit("3")).alias("s"))

@@ -163,6 +163,14 @@ def describe_orders(spark, sf):
     return table(spark, sf, "orders").select("o_totalprice").describe().where("summary = 'count'").withColumnRenamed("o_totalprice", "n")
 
 
+_DESCRIBED = {"count": "count(o_totalprice)", "mean": "avg(o_totalprice)", "stddev": "stddev_samp(o_totalprice)", "min": "min(o_totalprice)", "max": "max(o_totalprice)"}
+
+
+@query("describe_orders_whole", " UNION ALL ".join(f"SELECT '{k}' AS summary, round(CAST({v} AS DOUBLE), 2) AS n FROM orders" for k, v in _DESCRIBED.items()))
+def describe_orders_whole(spark, sf):
+    return table(spark, sf, "orders").select("o_totalprice").describe().select("summary", F.round(F.col("o_totalprice").cast("double"), 2).alias("n"))
+
+
 @query("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_inner(spark, sf):
     return table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
@@ -335,6 +343,16 @@ def set_except(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(spark, sf, "supplier").where("s_suppkey < 20").select("s_nationkey"))
 
 
+@query("set_intersect_whole", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+def set_intersect_whole(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).intersect(table(spark, sf, "orders").select("o_custkey"))
+
+
+@query("set_except_whole", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_except_whole(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf, "orders").select("o_custkey"))
+
+
 @query("set_drop_duplicates", "SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY c_nationkey")
 def set_drop_duplicates(spark, sf):
     return table(spark, sf, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("c_custkey"))
