@@ -7,12 +7,15 @@ of set sizes; a document emits keys in its own band and in the next smaller one,
 
 A part is a stretch of 2**32 bits or more, kept as the XOR of its set bits' codes. Empty parts are equal too often to help: each band has
 spare parts, and a document emits its empty parts only where it has more of them than the band has to spare, so no pair is lost.
+
+Hashes only propose pairs: what links is decided on the words of both texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from .textnum import SPACE, Buffer, blocks, mix
 WORDS = 5
 #: Rows of candidate groups with one least id that go to one task.
 SPREAD = 5_000
+#: Bytes of text whose parts meet in one shard, and ids of a candidate group in one row.
+SHARD_BYTES, CHUNK = 32_000_000, 10_000
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 LIMITS = [1]
 while LIMITS[-1] < 1 << 40:
@@ -51,6 +56,29 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], codes[new]
 
 
+def shared_shingles(one: pa.Array, other: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of texts the sizes of both shingle sets and of their intersection, by the words themselves."""
+    n = len(one)
+    buffer = Buffer(pa.chunked_array([one, other], pa.string()))
+    starts, ends, row = buffer.words(SPACE)
+    ids = np.append(buffer.exact_ids(starts, ends), len(row))  # the last number stands for no word
+    counts = np.bincount(row, minlength=2 * n)
+    first = np.cumsum(counts) - counts
+    full = np.flatnonzero(row[WORDS - 1 :] == row[: len(row) - WORDS + 1]) if len(row) >= WORDS else np.zeros(0, np.int64)
+    at = np.concatenate([full, first[(counts > 0) & (counts < WORDS)]])
+    whose = row[at]
+    name = ids[at]
+    for k in range(1, WORDS):
+        there = np.minimum(at + k, len(row))
+        there = np.where((there < len(row)) & (np.append(row, -1)[there] == whose), there, len(row))
+        name = np.unique(name * np.int64(len(ids)) + ids[there], return_inverse=True)[1]
+    pair, right = whose % max(n, 1), whose >= n
+    kind = pair * np.int64(len(ids) + 1) + name
+    left_set, right_set = np.unique(kind[~right]), np.unique(kind[right])
+    sizes = [np.bincount(x // (len(ids) + 1), minlength=n) for x in (left_set, right_set, np.intersect1d(left_set, right_set, assume_unique=True))]
+    return sizes[0], sizes[1], sizes[2]
+
+
 def band_parts(band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(parts, parts to spare) of each band: a pair whose smaller set lies in it shares at least one part more than it spares."""
     small = LIMITS[band + 1] - 1
@@ -188,46 +216,50 @@ def _meet(table: pa.Table) -> pa.Table:
             _, once = np.unique(lists[many], axis=0, return_index=True)
             ends = np.cumsum(sizes[many])
             begins = ends - sizes[many]
-            chosen = np.sort(once)
-            picks = np.concatenate([np.arange(begins[k], ends[k]) for k in chosen])
-            offsets = np.concatenate([[0], np.cumsum(sizes[many][chosen])]).astype(np.int32)
-            out.append(_met(2, docs=pa.ListArray.from_arrays(pa.array(offsets), pa.array(docs[picks]))))
+            rows = [(k, x, min(x + CHUNK, ends[k])) for k in np.sort(once) for x in range(begins[k], ends[k], CHUNK)]
+            group = np.array([k for k, _, _ in rows])
+            picks = np.concatenate([np.arange(x, y) for _, x, y in rows])
+            offsets = np.concatenate([[0], np.cumsum([y - x for _, x, y in rows])]).astype(np.int32)
+            name = mix(lists[many][group, 0] ^ mix(lists[many][group, 1])).view(np.int64)
+            out.append(_met(2, name, docs[begins[group]], docs=pa.ListArray.from_arrays(pa.array(offsets), pa.array(docs[picks]))))
     return pa.concat_tables(out) if out else _met(0)
 
 
+def _sizes(batches):
+    for batch in batches:
+        for a, b in blocks(batch.column(0)):
+            rows, _ = shingles(batch.column(0).slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array(np.bincount(rows, minlength=b - a).astype(np.int64))], names=["n_shingles"])
+
+
 def _leads(docs: DataFrame) -> DataFrame:
     """(doc_id, text, leads): of a text's copies only the one of least id leads.
 
     Copies that don't lead send no parts: their equal sets link them. A group with a third of all rows is thus one row where parts meet.
     """
-    same = [F.xxhash64("text").alias("h"), F.octet_length("text").alias("size")]
-    counted = docs.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead"))
-    copied = staged(counted.where("n > 1").select("h", "size", "lead"), "shingle-copied")
-    keyed = docs.select("doc_id", "text", *same).join(hinted(copied), ["h", "size"], "left")
+    same = {"h": F.xxhash64("text"), "h2": F.hash("text"), "size": F.octet_length("text")}
+    named = [c.alias(name) for name, c in same.items()]
+    counted = docs.groupBy(*named).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead"))
+    copied = staged(counted.where("n > 1").select(*same, "lead"), "shingle-copied")
+    keyed = docs.select("doc_id", "text", *named).join(hinted(copied), list(same), "left")
     return keyed.select("doc_id", "text", F.coalesce(F.col("doc_id") == F.col("lead"), F.lit(True)).alias("leads"))
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, codes) of the documents in ``ids``: their shingles' hashes."""
-
-    def run(batches):
-        for batch in batches:
-            for a, b in blocks(batch.column(1)):
-                rows, codes = shingles(batch.column(1).slice(a, b - a))
-                upto = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=b - a))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(upto), pa.array(codes.view(np.int64)))], names=["doc_id", "codes"])
-
-    return docs.join(hinted(ids, 2_000_000), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id bigint, codes array<bigint>")
-
-
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets' exact likeness is 4/5 or more."""
     pairs = staged(pairs, "shingle-pairs")
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "shingle-ids")
-    sets = staged(_sets(docs, ids), "shingle-sets")
-    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "codes": "x"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "codes": "y"}), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= 80 * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    texts = staged(docs.join(hinted(ids, 2_000_000), "doc_id", "left_semi").select("doc_id", "text"), "shingle-texts")
+    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "y"}), "b")
+
+    def run(batches):
+        for batch in batches:
+            sizes = pc.add(pc.binary_length(batch.column("x")), pc.binary_length(batch.column("y")))
+            for a, b in blocks(sizes):
+                n, m, k = shared_shingles(batch.column("x").slice(a, b - a), batch.column("y").slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(100 * k >= 80 * (n + m - k)))
+
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def _filtered(pairs: DataFrame, profile: DataFrame) -> DataFrame:
@@ -240,7 +272,7 @@ def _filtered(pairs: DataFrame, profile: DataFrame) -> DataFrame:
         for batch in batches:
             keep, same = [], []
             for na, nb, ha, hb, sa, sb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ha", "hb", "sa", "sb")), strict=True):
-                same.append(na == nb and ha == hb)
+                same.append(na == nb and ha == hb and sa == sb)
                 keep.append(same[-1] or may_link(na, nb, sa, sb))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.bool_())], names=["a", "b", "same"]).filter(pa.array(keep, pa.bool_()))
 
@@ -249,7 +281,7 @@ def _filtered(pairs: DataFrame, profile: DataFrame) -> DataFrame:
 
 def _across(groups: DataFrame, profile: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs of different components within a group that sizes and sketches allow: no other rows leave a task."""
-    members = groups.select(F.xxhash64("docs").alias("g"), F.get("docs", F.lit(0)).alias("lead"), F.explode("docs").alias("id")).distinct()
+    members = groups.select("g", "lead", F.explode("docs").alias("id")).distinct()
     placed = members.join(parts, "id", "left").withColumn("c", F.coalesce("component_id", "id")).select("g", "lead", "id", "c")
     placed = staged(placed, "shingle-members")
     mixed = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
@@ -308,22 +340,23 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     text_batches(spark)
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id is not null")
-    shards = 2 * width(spark)
+    shards = max(2 * width(spark), (docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0) // SHARD_BYTES)
     packed = _leads(known).mapInArrow(_deal(shards), PACKED)
     met = staged(packed.groupBy("shard").applyInArrow(_meet, MET), "shingle-met")
     profile = met.where("kind = 0").select(F.col("a").alias("doc_id"), "n", F.col("b").alias("h"), "sketch")
     stars = met.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    equal = profile.where("n > 0").groupBy("n", "h").agg(F.min("doc_id").alias("least"))
-    copies = profile.join(equal, ["n", "h"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    marked = profile.where("n > 0").select("doc_id", "n", "h", F.xxhash64("sketch").alias("h2"))
+    equal = marked.groupBy("n", "h", "h2").agg(F.min("doc_id").alias("least"))
+    copies = marked.join(equal, ["n", "h", "h2"]).where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     likely = staged(_filtered(best, profile).where("not same").select("a", "b").distinct(), "shingle-likely")
     first = staged(copies.unionByName(_verified(known, likely)), "shingle-links")
     parts = connected_components(first)
-    groups = met.where("kind = 2").select("docs")
+    groups = met.where("kind = 2").select(F.col("a").alias("g"), F.col("b").alias("lead"), "docs")
     across = _across(groups, profile, parts)
     links = first.unionByName(_verified(known, across))
     parts = connected_components(links).withColumnRenamed("id", "doc_id")
     out = profile.join(parts, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    lost = _sets(docs.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("bigint")), spark.range(1).withColumnRenamed("id", "doc_id"))
+    lost = docs.where("doc_id is null").select("text").mapInArrow(_sizes, "n_shingles bigint")
     none = F.lit(None).cast("bigint")
-    return out.unionByName(lost.select(none.alias("doc_id"), F.size("codes").cast("bigint").alias("n_shingles"), none.alias("component_id")))
+    return out.unionByName(lost.select(none.alias("doc_id"), "n_shingles", none.alias("component_id")))

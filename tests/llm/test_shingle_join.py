@@ -93,3 +93,39 @@ def test_copies_send_parts_once_and_lose_no_link(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in shingle_join._leads(table).where("leads").where(f"text = '{text}'").collect()] == [9_941]
     assert got(spark, rows) == brute(rows)
+
+
+def mirrored(rounds):
+    """Two words that polynomial hashes modulo a power of two can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(rounds):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_differ_only_in_order_stay_apart(spark):
+    rows = []
+    for k, rounds in enumerate((10, 11)):
+        rows += [(2 * k, mirrored(rounds)[0]), (2 * k + 1, mirrored(rounds)[1])]
+    assert got(spark, rows) == brute(rows) == [(i, 1, i) for i in range(4)]
+
+
+def test_pairs_are_verified_on_words_whatever_the_hashes(monkeypatch):
+    import numpy as np
+
+    from millrace.llm import textnum
+
+    rows = corpus(6, 40)
+    texts = [t for _, t in rows] + ["", "a", "a b", "a b c d e", "A B C D E", "a b c d"]
+    pairs = [(x, y) for x in texts for y in texts[::3]]
+    want = [(len(a := shingle_set(x)), len(b := shingle_set(y)), len(a & b)) for x, y in pairs]
+    run = lambda: list(zip(*(n.tolist() for n in shingle_join.shared_shingles(*(pa.array([p[k] for p in pairs]) for k in (0, 1))))))
+    assert run() == want
+    monkeypatch.setattr(textnum.Buffer, "hashes", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+    assert run() == want
+
+
+def test_long_candidate_groups_are_rows_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "CHUNK", 3)
+    rows = corpus(7, 120)
+    assert got(spark, rows) == brute(rows)
