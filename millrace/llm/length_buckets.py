@@ -11,20 +11,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, width
+from .common import hinted, staged
 
-#: Lengths up to this are bins of their own; above, a bin spans 1/1024 of its length, so there are some 60,000 bins at most.
-EXACT = 8192
-
-
-def bin_of(length: Column) -> Column:
-    """The greatest length of the bin that a length falls into."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(length.cast("double"))) - 10).cast("bigint")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step).cast("bigint") * step)
+#: Rows that are numbered together.
+BLOCK_ROWS = 200_000
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
-    """Upper bounds of at most ``buckets`` buckets over sorted bins that minimise the sum of (bound - length) * count.
+    """Upper bounds of at most ``buckets`` buckets over sorted distinct lengths that minimise the sum of (bound - length) * count.
 
     cost(i, j) obeys the quadrangle inequality, so the best cut moves one way and each layer needs O(n log n) evaluations.
     """
@@ -72,22 +66,24 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
     ``length`` (words of ``text`` and an end if not given) is at least 1; null counts as 1. Every row is packed once: repeated rows get
     slots of their own, a sequence longer than the budget fills a batch alone, an empty table gives no rows. Batches are numbered within
     a bucket, slots within a batch; rows of equal length may stand in any order. Numbering adds per-block offsets, so no bucket
-    passes through one task.
+    passes through one task. The histogram has a row for each distinct length: fewer than the square root of twice the sum of all lengths.
     """
     spark = docs.sparkSession
     length = word_count(F.col("text")) if length is None else length
-    sized = staged(docs.select("doc_id", F.greatest(F.coalesce(length.cast("bigint"), F.lit(1)), F.lit(1)).alias("n_tokens")).withColumn("bin", bin_of(F.col("n_tokens"))), "pack-lengths")
-    histogram = sized.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
-    bounds = optimal_bounds(np.array([r["bin"] for r in histogram], np.int64), np.array([r["n"] for r in histogram], np.int64), buckets) if histogram else [1]
+    whole = docs.select("doc_id", F.greatest(F.coalesce(length.cast("bigint"), F.lit(1)), F.lit(1)).alias("n_tokens"))
+    sized = staged(whole.withColumn("row", F.monotonically_increasing_id()), "pack-lengths")
+    histogram = sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").collect()
+    lengths, each = (np.array([r[c] for r in histogram], np.int64) for c in ("n_tokens", "n"))
+    bounds = optimal_bounds(lengths, each, buckets) if histogram else [1]
     limits = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-    bucket = F.size(F.filter(limits, lambda b: b < F.col("bin")))
-    blocks = max(64, 4 * width(spark))
-    placed = sized.withColumn("bucket", bucket).withColumn("block", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(blocks)))
+    bucket = F.size(F.filter(limits, lambda b: b < F.col("n_tokens")))
+    blocks = max(64, -(-int(each.sum()) // BLOCK_ROWS))
+    placed = sized.withColumn("bucket", bucket).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     counts = placed.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    numbered = placed.withColumn("k", F.row_number().over(Window.partitionBy("bucket", "block").orderBy("doc_id", "n_tokens")) - 1)
-    numbered = numbered.join(F.broadcast(offsets), ["bucket", "block"])  # buckets * blocks rows at most
+    numbered = placed.withColumn("k", F.row_number().over(Window.partitionBy("bucket", "block").orderBy("doc_id", "n_tokens", "row")) - 1)
+    numbered = numbered.join(hinted(staged(offsets, "pack-offsets")), ["bucket", "block"])
     pad = F.get(limits, F.col("bucket"))
     per = F.greatest(F.lit(1), F.floor(F.lit(budget) / pad)).cast("bigint")
     at = F.col("k") + F.col("offset")

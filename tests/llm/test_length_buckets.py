@@ -45,7 +45,21 @@ def test_every_row_is_packed_once_within_the_budget(spark):
     assert length_buckets.pack(docs.limit(0)).count() == 0
 
 
-def test_bins_are_few_and_close(spark):
-    rows = spark.range(1, 3_000_000, 997).select("id", length_buckets.bin_of(F.col("id")).alias("b"))
-    assert rows.where("b < id or b > id * 1.001 + 1").count() == 0
-    assert spark.range(1, 8193).where(length_buckets.bin_of(F.col("id")) != F.col("id")).count() == 0
+def test_bounds_of_long_texts_are_optimal(spark):
+    rng = random.Random(5)
+    sizes = [rng.choice([8_193, 8_195, 9_001, 9_003, 12_345, 12_351, 20_000]) for _ in range(40)] + [3, 8_192]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n long")
+    lengths = sorted(set(sizes))
+    counts = [sizes.count(x) for x in lengths]
+    for k in (1, 3, 5):
+        out = length_buckets.pack(docs, F.col("n"), buckets=k).collect()
+        best = min(padding(lengths, counts, [*c, lengths[-1]]) for c in itertools.combinations(lengths[:-1], k - 1))
+        assert sum(r.padding for r in out) == best
+        assert {r.pad_to for r in out} <= set(sizes)
+
+
+def test_the_blocks_of_rows_do_not_change_the_batches(spark, monkeypatch):
+    monkeypatch.setattr(length_buckets, "BLOCK_ROWS", 2)
+    docs = spark.createDataFrame([(None if i % 3 else 1, 10) for i in range(500)], "doc_id long, n long")
+    out = length_buckets.pack(docs, F.col("n"), budget=100).collect()
+    assert sorted((r.batch, r.slot) for r in out) == [(b, s) for b in range(50) for s in range(10)]
