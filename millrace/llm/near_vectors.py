@@ -25,7 +25,7 @@ def usable(vector: Column) -> Column:
 
 def plan_tables(rows: int, least: float, miss: float) -> tuple[int, int]:
     """(bits, tables): about two unrelated rows of the largest group share a bucket; a pair at ``least`` is missed with chance ``miss``."""
-    bits = min(24, max(6, math.ceil(math.log2(max(rows, 2) / 2))))
+    bits = min(40, max(6, math.ceil(math.log2(max(rows, 2) / 2))))
     meet = (1 - math.acos(min(1.0, least)) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - meet)) if meet < 1 else 1
 
@@ -53,14 +53,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, miss: float = 1e-5,
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, label; other columns are ignored).
 
     Vectors of equal, non-null label and equal size link at a cosine of ``least`` or more, in double precision; null, zero and
-    non-finite vectors link with nothing. Equal vectors are compared once and count with their number. Rows that repeat
-    a vec_id count as vectors of their own. A null vec_id links with nothing; an empty table gives no rows. Buckets of over 1024
-    vectors are compared block by block, and only sums and spanning links leave a block.
+    non-finite vectors link with nothing. Equal vectors are compared once and count with their number; distinct ones are known by a
+    number of their own, so rows that repeat a vec_id, with equal or other vectors or labels, count as vectors of their own. A null
+    vec_id links with nothing; an empty table gives no rows. Buckets of over 1024 vectors are compared block by block, and only sums
+    and spanning links leave a block.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding", "label")
     good = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("embedding"))).withColumn("h", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), F.reverse("embedding"), F.size("embedding")))
-    reps = staged(good.groupBy("label", "h", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("embedding").alias("embedding")), "vectors-distinct")
+    distinct = good.groupBy("label", "h", "h2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min("embedding").alias("embedding"))
+    reps = staged(distinct.withColumn("rep", F.monotonically_increasing_id()), "vectors-distinct")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits, tables = plan_tables(largest, least, miss)
 
@@ -103,7 +105,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, miss: float = 1e-5,
     met = staged(laid.mapInArrow(compare, "kind int, a bigint, b bigint"), "vectors-links")
     links = met.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     parts = connected_components(met.where("kind = 1").select("a", "b")).withColumnRenamed("id", "rep")
-    done = reps.join(links, "rep", "left").join(parts, "rep", "left").select("label", "h", "h2", "copies", "links", F.coalesce("component_id", "rep").alias("component_id"))
+    names = parts.join(reps.select("rep", "least"), "rep").groupBy("component_id").agg(F.min("least").alias("name"))
+    named = parts.join(names, "component_id").select("rep", "name")
+    done = reps.join(links, "rep", "left").join(named, "rep", "left").select("label", "h", "h2", "copies", "links", F.coalesce("name", "least").alias("component_id"))
     keyed = rows.withColumn("ok", F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         "vec_id", F.when(F.col("ok"), F.col("label")).alias("label"), F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(1), F.reverse("embedding"), F.size("embedding")).alias("h2")
     )

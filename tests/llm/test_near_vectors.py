@@ -69,3 +69,11 @@ def test_components_of_paths_and_stars(spark, n):
     links = [(i, i + 1) for i in range(0, n)] + [(1000, 1000 + i) for i in range(1, n + 1)] + [(5000, 5000), (None, 3), (1001, 1000)]
     out = {r.id: r.component_id for r in connected_components(spark.createDataFrame(links, "x long, y long").repartition(7)).collect()}
     assert out == {i: 0 for i in range(n + 1)} | {1000 + i: 1000 for i in range(n + 1)}
+
+
+def test_one_id_with_several_vectors(spark):
+    a, b, c = [1.0, 0.0, 0.05], [1.0, 0.0, 0.0], [1.0, 0.04, 0.0]
+    rows = [(1, a, "x"), (1, b, "x"), (2, c, "x"), (3, a, "y"), (1, a, "y"), (0, a, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    out = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors.near_duplicates(table).collect())
+    assert out == [(0, 0, 0, True), (1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False)]
