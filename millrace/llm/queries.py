@@ -161,7 +161,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     """A model fitted on the labels of ids whose crc32 modulo 5 is not 0."""
-    labels = _table(spark, sf_dir, "labels").where(fold("doc_id") != 0).select("doc_id", F.col("toxic").alias("label"))
+    labels = _table(spark, sf_dir, "labels").where(F.coalesce(fold("doc_id") != 0, F.lit(False))).select("doc_id", F.col("toxic").alias("label"))
     return toxicity.fit(docs, labels)
 
 
@@ -170,7 +170,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.add_score(docs, toxicity_model(spark, sf_dir, docs))
     return scored.select(
-        "doc_id", (fold("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+        "doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )
 
 

@@ -1,8 +1,9 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
-1. Words, prefixes and suffixes that labelled training texts of one label use far more often become lexicons, dealt into voters.
-2. A label model (expectation maximisation over the voters' votes) estimates how accurate each voter is for either class and
-   how voters correlate beyond the class; correlated voters share their weight. It gives each text a posterior.
+1. Words, prefixes and suffixes that labelled training texts of one label use far more often become lexicons, dealt into voters. Labels
+   also give the share of toxic texts. They do nothing else.
+2. A label model (expectation maximisation over the votes alone, begun from their majority) estimates how accurate each voter is for
+   either class and how voters correlate beyond the class; correlated voters share their weight. It gives each text a posterior.
 3. A logistic regression on the lexicon features is fitted to the posteriors and scores every text.
 Everything is fitted on at most ``fit_rows`` labelled rows; every document is scored.
 """
@@ -92,30 +93,30 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "label").mapInArrow(count, "key bigint, kind tinyint, toxic bigint, other bigint").groupBy("key", "kind").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def _posteriors(votes: np.ndarray, prior: float, names: list[str], given: np.ndarray, trust: float = 0.99, rounds: int = 30) -> tuple[np.ndarray, list, np.ndarray]:
-    """The label model: P(vote | class) for votes -1, 0, 1 by expectation maximisation; correlated voters get less weight each.
+def posteriors(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The label model: the chance of class 1 for each row of votes (-1, 0 or 1, a column for each voter), P(vote | class) as an array
+    [vote + 1, class 1 or 0, voter], and the voters' correlations beyond the class.
 
-    The given label counts as one more voter, right with the fixed probability ``trust``.
+    Votes of one class are taken as independent, but that voters who agree beyond it share their weight. ``prior`` is the share of class
+    1: the first guess is that share of rows with the greatest sum of votes.
     """
     n, m = votes.shape
-    given = np.where(given == 1, 1, -1) * np.log(trust / (1 - trust))
-    q, weight, corr = 1 / (1 + np.exp(-given)), np.ones(m), np.eye(m)
+    total = votes.sum(axis=1)
+    ahead = total > np.quantile(total, 1 - prior)
+    q, weight, corr = np.where(ahead if ahead.any() else total > 0, 0.9, 0.1), np.ones(m), np.eye(m)
+    cast = [(votes == v).astype(np.float64) for v in (-1, 0, 1)]
     for k in range(rounds):
         share = np.stack([q, 1 - q])
-        chance = np.stack([(share @ (votes == v) + 0.5) / (share.sum(axis=1)[:, None] + 1.5) for v in (-1, 0, 1)])
+        chance = np.stack([(share @ hit + 0.5) / (share.sum(axis=1)[:, None] + 1.5) for hit in cast])
         if k % 5 == 0:  # what voters share beyond the class
-            mean = sum(v * chance[i] for i, v in enumerate((-1, 0, 1)))
+            mean = chance[2] - chance[0]
             rest = votes - (q[:, None] * mean[0] + (1 - q)[:, None] * mean[1])
             scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
             corr = (rest.T @ rest) / n / np.outer(scale, scale)
             weight = 1 / (1 + np.clip(corr - np.eye(m), 0, None).sum(axis=1))
-        logs = np.log(chance)
-        each = np.zeros((2, n))
-        for i, v in enumerate((-1, 0, 1)):
-            each += (logs[i] * weight) @ (votes == v).T
-        gap = np.clip(given + np.log(prior / (1 - prior)) + each[0] - each[1], -30, 30)
-        q = 1 / (1 + np.exp(-gap))
-    return q, [(name, float(chance[2, 0, j]), float(chance[2, 1, j])) for j, name in enumerate(names)], corr
+        each = sum(np.log(chance[i]) * weight @ hit.T for i, hit in enumerate(cast))
+        q = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + each[0] - each[1], -30, 30)))
+    return q, chance, corr
 
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, d: int, target: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -132,8 +133,11 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, d: int, target: np.nda
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, most_features: int = 4_000, least: float = 24.0, strong: float = 3.5, voters: int = 8) -> Model:
-    """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1); without labels of both classes scores are the share of ones."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, least: float = 24.0, strong: float = 3.5, sure: float = 4.5, voters: int = 8) -> Model:
+    """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1); without labels of both classes scores are near 0 or 1.
+
+    Every feature of the fitting rows that tells the labels apart is kept: their number is bounded by ``fit_rows`` alone.
+    """
     text_batches(docs.sparkSession)
     rows = staged(training_rows(docs, labels, fit_rows), "toxicity-rows")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -146,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, most_feature
     part = lambda c, p: F.when(c > 0, c * F.log(c / (n * p))).otherwise(0.0)
     ranked = _counts(rows).withColumn("odds", F.log(t / o)).withColumn("worth", 2 * (part(F.col("toxic"), share) + part(F.col("other"), 1 - share)))
     ranked = ranked.where((F.col("worth") >= least) & (F.abs("odds") >= 1.0))
-    table = ranked.orderBy(F.desc("worth"), "key").limit(most_features).toPandas()
+    table = ranked.select("key", "kind", "odds").toPandas()
     table = table.assign(key=table["key"].to_numpy(np.int64).view(np.uint64)).sort_values("key").reset_index(drop=True)
     keys, odds, kind = table["key"].to_numpy(), table["odds"].to_numpy(), table["kind"].to_numpy()
     if not len(keys):
@@ -157,9 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, most_feature
             for a, b in blocks(batch.column(1)):
                 which, row = found(keys, Buffer(batch.column(1).slice(a, b - a)))
                 lists = np.split(which.astype(np.int32), np.cumsum(np.bincount(row, minlength=b - a))[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "label", "hits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "hits"])
 
-    seen = rows.mapInArrow(hits, "doc_id bigint, label int, hits array<int>").toPandas().sort_values("doc_id", kind="stable")
+    seen = rows.mapInArrow(hits, "doc_id bigint, hits array<int>").toPandas().sort_values("doc_id", kind="stable")
     n = len(seen)
     row = np.repeat(np.arange(n), seen["hits"].map(len).to_numpy())
     col = np.concatenate(seen["hits"].to_numpy()).astype(np.int64) if n else np.zeros(0, np.int64)
@@ -176,11 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, most_feature
         votes.append(-(np.bincount(row, mine[col], n) == 0).astype(np.int8))
         names.append(f"absence {k}")
     balance = np.bincount(row, odds[col], n)
-    votes.append(np.where(balance > 3, 1, np.where(balance < 0, -1, 0)).astype(np.int8))
+    votes.append(np.where(balance > sure, 1, np.where(balance < 0, -1, 0)).astype(np.int8))
     names.append("balance")
-    q, accuracies, corr = _posteriors(np.stack(votes, 1), toxic / (toxic + other), names, seen["label"].to_numpy())
+    q, chance, corr = posteriors(np.stack(votes, 1), toxic / (toxic + other))
     w, b = _logistic(row, col, n, len(keys), q)
-    return Model(keys, w, b, accuracies, corr)
+    return Model(keys, w, b, [(name, float(chance[2, 0, j]), float(chance[2, 1, j])) for j, name in enumerate(names)], corr)
 
 
 def add_score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm import toxicity
@@ -50,3 +52,29 @@ def test_query(spark, sf_dir):
     assert out.columns == ["doc_id", "held_out", "score", "predicted"]
     assert out.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert out.where((F.col("held_out") != (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)) | (F.col("predicted") != (F.col("score") >= 0.5).cast("int"))).count() == 0
+
+
+def test_posteriors_come_from_votes_alone():
+    """On votes drawn from a known model, the label model finds its accuracies and tells the classes apart; a plain loop agrees."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.15
+    right = np.array([0.9, 0.8, 0.85, 0.7, 0.95])
+    votes = np.where(rng.random((4000, 5)) < np.where(truth[:, None], right, 1 - (1 - right) * 0.4), np.where(truth[:, None], 1, -1), 0).astype(np.int8)
+    noise = rng.random(votes.shape) < 0.05
+    votes = np.where(noise, -votes, votes)
+    q, chance, corr = toxicity.posteriors(votes, 0.15)
+    assert ((q >= 0.5) == truth).mean() > 0.97
+    assert np.abs(chance[2, 0] - right * 0.95).max() < 0.06 and corr.shape == (5, 5)
+    weight = 1 / (1 + np.clip(corr - np.eye(5), 0, None).sum(axis=1))
+    for row in range(0, 4000, 97):
+        odds = math.log(0.15 / 0.85) + sum(weight[j] * (math.log(chance[v + 1, 0, j]) - math.log(chance[v + 1, 1, j])) for j, v in enumerate(votes[row].tolist()))
+        assert abs(1 / (1 + math.exp(-odds)) - q[row]) < 0.02
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    from millrace.llm.queries import op9_toxicity
+
+    rows = made(spark, 60).withColumn("doc_id", F.expr("nullif(doc_id, 7)"))
+    rows.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows.select("doc_id", F.col("label").alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    assert [r.held_out for r in op9_toxicity(spark, str(tmp_path)).where("doc_id is null").collect()] == [False]
