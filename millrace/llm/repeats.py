@@ -2,13 +2,19 @@
 
 A rolling hash over 32 bytes picks triggers: every window of ``span`` bytes (200) is anchored at the position of its least hash, the
 leftmost among equals, so equal windows have equal anchors at equal places. Neighbouring windows of one anchor form a phrase: the bytes
-that they cover. The parse is each document's sequence of phrases, the dictionary holds each distinct phrase once.
+that they cover. The dictionary holds each distinct phrase once; the parse tells where in the corpus each phrase occurs.
+
+Phrases overlap by ``span`` - 1 bytes, so a suffix of the corpus is ordered to the depth of ``span`` bytes by the suffix of the phrase that
+it begins in: the suffix array of the dictionary, with the parse's occurrences of each phrase laid beside its suffixes, is the
+corpus order to that depth, and what is repeated has a neighbour there with ``span`` bytes in common.
 
 1. Documents send their triggers to shards; a trigger that occurs once in the corpus starts no repeat, and its phrase goes no further.
-2. Phrases of the other triggers meet in shards by trigger. A phrase that occurs twice is repeated as a whole. The suffixes of
-   distinct phrases of one trigger are sorted, by their first bytes and then by a fingerprint of ``span`` bytes, so equal windows
-   stand side by side whatever phrase and document they come from.
+2. Phrases of the other triggers meet in shards by trigger, where a dictionary over their bytes makes them distinct. The suffixes of
+   phrases that share a trigger are ranked by prefix doubling: equal ranks are equal bytes. A suffix occurs again if another
+   suffix has its rank or if the parse has its phrase twice.
 3. Repeated windows are laid back through the parse onto the documents, whose remaining bytes are kept.
+
+Hashes only choose triggers and shards; what is equal is decided on bytes.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ GRAM = 32
 PLACE = np.uint64((1 << 24) - 1)
 #: Bytes of text that are parsed at once, and that share a dictionary before the shuffle.
 PIECE, BLOCK = 1_000_000, 2_000_000
+#: Bytes of text whose triggers meet in one shard.
+SHARD_BYTES = 32_000_000
 
 
 def _sums(raw: np.ndarray) -> np.ndarray:
@@ -39,9 +47,9 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Phrases:
-    """The phrases of some texts: row, place in the text, number of windows, trigger, and a hash of the whole phrase."""
+    """The phrases of some texts: row, place in the text, number of windows, and trigger."""
 
-    def __init__(self, texts: list[bytes], span: int, with_hash: bool):
+    def __init__(self, texts: list[bytes], span: int):
         self.span, self.texts = span, texts
         out: list[list[np.ndarray]] = []
         batch: list[tuple[int, int, bytes]] = []
@@ -51,16 +59,16 @@ class Phrases:
                 batch.append((row, at, text[at : at + PIECE + span - 1]))
                 held += len(batch[-1][2])
                 if held >= PIECE:
-                    out.append(self._parse(batch, with_hash))
+                    out.append(self._parse(batch))
                     batch, held = [], 0
         if batch:
-            out.append(self._parse(batch, with_hash))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)]
-        self.row, self.start, self.windows, self.trigger, self.whole = columns
+            out.append(self._parse(batch))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64)]
+        self.row, self.start, self.windows, self.trigger = columns
         counts = np.bincount(self.row, minlength=len(texts))
         self.ordinal = np.arange(len(self.row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
-    def _parse(self, batch: list[tuple[int, int, bytes]], with_hash: bool) -> list[np.ndarray]:
+    def _parse(self, batch: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
         raw = np.frombuffer(b"".join(x[2] for x in batch), np.uint8)
         sizes = np.array([len(x[2]) for x in batch])
         begins = np.cumsum(sizes) - sizes
@@ -82,9 +90,8 @@ class Phrases:
         first = np.flatnonzero(new)
         count = np.diff(np.concatenate([first, [len(at)]]))
         begin, piece = at[first], piece[first]
-        whole = mix((sums[begin + count + self.span - 1] - sums[begin]) * down[begin]) if with_hash else np.zeros(len(first), np.uint64)
         rows, places = np.array([x[0] for x in batch]), np.array([x[1] for x in batch])
-        return [rows[piece], places[piece] + begin - begins[piece], count, grams[anchor[first]], whole]
+        return [rows[piece], places[piece] + begin - begins[piece], count, grams[anchor[first]]]
 
 
 def _small(x: np.ndarray, n: int) -> bytes:
@@ -105,7 +112,7 @@ def _send_triggers(shards: int, span: int):
         for batch in batches:
             for a, b in blocks(batch.column(1), BLOCK):
                 ids = batch.column(0).slice(a, b - a).to_numpy()
-                p = Phrases([x or b"" for x in batch.column(1).slice(a, b - a).to_pylist()], span, False)
+                p = Phrases([x or b"" for x in batch.column(1).slice(a, b - a).to_pylist()], span)
                 shard = (p.trigger >> np.uint64(33)).astype(np.int64) % shards
                 order = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -143,6 +150,13 @@ def _repeated_triggers(table: pa.Table) -> pa.Table:
     return _by_id(ids[many], ordinals[many], 1)
 
 
+def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each text's distinct value, place of each value's first text)."""
+    known: dict[bytes, int] = {}
+    which = np.fromiter((known.setdefault(t, len(known)) for t in texts), np.int64, len(texts))
+    return which, np.unique(which, return_index=True)[1]
+
+
 def _send_phrases(shards: int, span: int):
     """Distinct phrases of each block, and where they occur."""
 
@@ -152,7 +166,7 @@ def _send_phrases(shards: int, span: int):
                 ids = batch.column(0).slice(a, b - a).to_numpy()
                 wanted = batch.column(2).slice(a, b - a).to_pylist()
                 texts = [(x or b"") if w else b"" for x, w in zip(batch.column(1).slice(a, b - a).to_pylist(), wanted, strict=True)]
-                p = Phrases(texts, span, True)
+                p = Phrases(texts, span)
                 counts = np.bincount(p.row, minlength=len(texts))
                 base = np.cumsum(counts) - counts
                 use = np.zeros(len(p.row), bool)
@@ -160,8 +174,8 @@ def _send_phrases(shards: int, span: int):
                     if w:
                         use[base[k] + np.frombuffer(b"".join(w), np.uint32).astype(np.int64)] = True
                 some = np.flatnonzero(use)
-                keys = np.stack([p.trigger[some], p.whole[some], p.windows[some].astype(np.uint64)], 1)
-                _, first, at = np.unique(keys.view([("", np.uint64)] * 3).ravel(), return_index=True, return_inverse=True)
+                phrases = [texts[r][x : x + n + span - 1] for r, x, n in zip(p.row[some].tolist(), p.start[some].tolist(), p.windows[some].tolist(), strict=True)]
+                at, first = _distinct(phrases)
                 lead = some[first]
                 shard = (p.trigger[lead] >> np.uint64(33)).astype(np.int64) % shards
                 order = np.argsort(shard, kind="stable")
@@ -176,15 +190,26 @@ def _send_phrases(shards: int, span: int):
                     many = upto[mine + 1] - upto[mine]
                     occur = some[of_phrase[_ranges(upto[mine], many)]]
                     used, local = np.unique(p.row[occur], return_inverse=True)
-                    text = b"".join([texts[p.row[k]][p.start[k] : p.start[k] + p.windows[k] + span - 1] for k in lead[mine]])
-                    out.append((s, p.trigger[lead[mine]].tobytes(), p.whole[lead[mine]].tobytes(), p.windows[lead[mine]].astype(np.uint16).tobytes(), text, many.astype(np.uint32).tobytes(), ids[used].tobytes(), _small(local, len(used)), p.start[occur].astype(np.uint32).tobytes()))
-                yield from _emit(out, ["shard", "trigger", "whole", "windows", "text", "many", "ids", "local", "start"], [pa.int32(), *[pa.binary()] * 8])
+                    text = b"".join([phrases[k] for k in first[mine]])
+                    out.append((s, p.trigger[lead[mine]].tobytes(), p.windows[lead[mine]].astype(np.uint16).tobytes(), text, many.astype(np.uint32).tobytes(), ids[used].tobytes(), _small(local, len(used)), p.start[occur].astype(np.uint32).tobytes()))
+                yield from _emit(out, ["shard", "trigger", "windows", "text", "many", "ids", "local", "start"], [pa.int32(), *[pa.binary()] * 7])
 
     return run
 
 
-def _sorted_repeats(texts: list[bytes], windows: np.ndarray, trigger: np.ndarray, span: int) -> np.ndarray:
-    """For each window of the distinct phrases, whether another window equals it: equal suffixes are neighbours once sorted."""
+def suffix_ranks(raw: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """The rank of each place in ``at`` by the ``span`` bytes that follow it: prefix doubling from eight bytes on, so equal ranks mean equal bytes."""
+    rank = np.zeros(len(raw) - 7, np.uint64)
+    for k in range(8):
+        rank = rank << np.uint64(8) | raw[k : len(raw) - 7 + k].astype(np.uint64)
+    rank, depth = np.unique(rank, return_inverse=True)[1], 8
+    while 2 * depth <= span:
+        rank, depth = np.unique(rank[:-depth] * np.int64(len(raw)) + rank[depth:], return_inverse=True)[1], 2 * depth
+    return np.unique(rank[at] * np.int64(len(raw)) + rank[at + span - depth], return_inverse=True)[1]
+
+
+def _met_again(texts: list[bytes], windows: np.ndarray, trigger: np.ndarray, span: int) -> np.ndarray:
+    """For each window of the distinct phrases (those of one trigger stand together), whether another window has its rank."""
     flags = np.zeros(int(windows.sum()), bool)
     upto = np.concatenate([[0], np.cumsum(windows)])
     size = np.cumsum(windows + span - 1)
@@ -194,41 +219,32 @@ def _sorted_repeats(texts: list[bytes], windows: np.ndarray, trigger: np.ndarray
         b = max(b, a + 1)
         while b < len(texts) and trigger[b] == trigger[b - 1]:
             b += 1
-        raw = np.frombuffer(b"".join(texts[a:b]), np.uint8)
-        sums, (_, down) = _sums(raw), powers(len(raw) + 1)
         begins = size[a:b] - windows[a:b] - span + 1 - (size[a - 1] if a else 0)
-        at = _ranges(begins, windows[a:b])
-        head = np.zeros(len(at), np.uint64)
-        for k in range(8):
-            head = head << np.uint64(8) | raw[at + k].astype(np.uint64)
-        mark = mix((sums[at + span] - sums[at]) * down[at])
-        order = np.lexsort((mark, head))
-        same = (head[order[1:]] == head[order[:-1]]) & (mark[order[1:]] == mark[order[:-1]])
-        hit = np.zeros(len(at), bool)
-        hit[order[1:]] = same
-        hit[order[:-1]] |= same
-        flags[upto[a] : upto[b]] = hit
+        ranks = suffix_ranks(np.frombuffer(b"".join(texts[a:b]), np.uint8), _ranges(begins, windows[a:b]), span)
+        flags[upto[a] : upto[b]] = np.bincount(ranks)[ranks] > 1
         a = b
     return flags
 
 
 def _repeated_windows(span: int):
     def run(table: pa.Table) -> pa.Table:
-        trigger, whole, windows, texts, many, ids, starts = [], [], [], [], [], [], []
-        for _, t, w, n, text, m, i, local, start in zip(*(c.to_pylist() for c in table.columns), strict=True):
+        trigger, windows, texts, many, ids, starts = [], [], [], [], [], []
+        for _, t, n, text, m, i, local, start in zip(*(c.to_pylist() for c in table.columns), strict=True):
             trigger.append(np.frombuffer(t, np.uint64))
-            whole.append(np.frombuffer(w, np.uint64))
             windows.append(np.frombuffer(n, np.uint16).astype(np.int64))
             ends = np.cumsum(windows[-1] + span - 1)
             texts += [text[b - s : b] for b, s in zip(ends.tolist(), (windows[-1] + span - 1).tolist(), strict=True)]
             many.append(np.frombuffer(m, np.uint32).astype(np.int64))
             starts.append(np.frombuffer(start, np.uint32).astype(np.int64))
             ids.append(np.frombuffer(i, np.int64)[_from_small(local, len(starts[-1]))])
-        trigger, whole, windows, many, ids, starts = (np.concatenate(x) for x in (trigger, whole, windows, many, ids, starts))
-        keys = np.stack([trigger, whole, windows.astype(np.uint64)], 1).view([("", np.uint64)] * 3).ravel()
-        _, first, phrase = np.unique(keys, return_index=True, return_inverse=True)
+        trigger, windows, many, ids, starts = (np.concatenate(x) for x in (trigger, windows, many, ids, starts))
+        phrase, first = _distinct(texts)
+        by_trigger = np.argsort(trigger[first], kind="stable")
+        place = np.empty(len(first), np.int64)
+        place[by_trigger] = np.arange(len(first))
+        phrase, first = place[phrase], first[by_trigger]
         uses = np.bincount(phrase, many, len(first)).astype(np.int64)
-        occur = np.repeat(phrase, many)  # the phrase of each occurrence
+        occur = np.repeat(phrase, many)  # the parse: the phrase of each occurrence
         of_trigger, trigger_at, sharing = np.unique(trigger[first], return_inverse=True, return_counts=True)
         meets = np.flatnonzero(sharing[trigger_at] > 1)
         span_from, span_to, span_of = [], [], []
@@ -238,7 +254,7 @@ def _repeated_windows(span: int):
         span_to.append(windows[first[whole_ones]] + span - 1)
         if len(meets):
             n = windows[first[meets]]
-            hit = _sorted_repeats([texts[k] for k in first[meets]], n, trigger[first[meets]], span)
+            hit = _met_again([texts[k] for k in first[meets]], n, trigger[first[meets]], span)
             hit &= np.repeat(uses[meets] == 1, n)
             owner, place = np.repeat(np.arange(len(meets)), n), _ranges(np.zeros(len(n), np.int64), n)
             at = np.flatnonzero(hit)
@@ -270,7 +286,17 @@ def _union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.concatenate([new[1:], [True]])]], 1)
 
 
-def _cut(names: list[str]):
+def _widened(spans: np.ndarray, text: bytes) -> np.ndarray:
+    """The spans with the whole of every character that they split."""
+    inside = np.append((np.frombuffer(text, np.uint8) & 0xC0) == 0x80, False)
+    while len(some := np.flatnonzero(inside[spans[:, 0]] & (spans[:, 0] > 0))):
+        spans[some, 0] -= 1
+    while len(some := np.flatnonzero(inside[spans[:, 1]])):
+        spans[some, 1] += 1
+    return _union(spans)
+
+
+def _cut(names: list[str], whole_characters: bool):
     def run(batches):
         for batch in batches:
             texts, found, copied = (batch.column(c).to_pylist() for c in ("__bytes", "__spans", "__copied"))
@@ -278,6 +304,7 @@ def _cut(names: list[str]):
             for text, data, copy in zip(texts, found, copied, strict=True):
                 text = text or b""
                 cuts = np.array([[0, len(text)]]) if copy else _union(np.frombuffer(b"".join(data or ()), np.int64).reshape(-1, 2))
+                cuts = _widened(cuts, text) if whole_characters and len(cuts) else cuts
                 parts, at = [], 0
                 for a, b in cuts.tolist():
                     parts.append(text[at:a])
@@ -289,47 +316,50 @@ def _cut(names: list[str]):
     return run
 
 
-def _wanted(lines: DataFrame, span: int) -> DataFrame:
+def _wanted(lines: DataFrame, shards: int, span: int) -> DataFrame:
     """(uid, wanted): for each text the ordinals of its phrases whose trigger occurs elsewhere too."""
-    shards = 2 * width(lines.sparkSession)
     sent = lines.select("__uid", "__bytes").mapInArrow(_send_triggers(shards, span), "shard int, ids binary, local binary, ordinal binary, trigger binary")
     found = sent.groupBy("shard").applyInArrow(_repeated_triggers, "uid bigint, data binary")
     return staged(found.groupBy("uid").agg(F.collect_list("data").alias("wanted")), "repeats-wanted")
 
 
-def _spans(lines: DataFrame, copies: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """(__uid, __spans): for each text its repeated byte ranges, packed. Of equal texts only the one of least id is looked at."""
+def _spans(lines: DataFrame, wanted: DataFrame, shards: int, span: int) -> DataFrame:
+    """(__uid, __spans): for each text its repeated byte ranges, packed."""
     release(lines.sparkSession)
-    shards = 2 * width(lines.sparkSession)
-    asked = lines.select("__uid", "__h", "__bytes").join(hinted(copies, 2_000_000), "__h", "left").where("lead is null or lead = __uid")
-    asked = asked.join(wanted.withColumnRenamed("uid", "__uid"), "__uid").select("__uid", "__bytes", "wanted")
-    phrases = asked.mapInArrow(_send_phrases(shards, span), "shard int, trigger binary, whole binary, windows binary, text binary, many binary, ids binary, local binary, start binary")
+    asked = lines.join(wanted.withColumnRenamed("uid", "__uid"), "__uid").select("__uid", "__bytes", "wanted")
+    phrases = asked.mapInArrow(_send_phrases(shards, span), "shard int, trigger binary, windows binary, text binary, many binary, ids binary, local binary, start binary")
     met = phrases.groupBy("shard").applyInArrow(_repeated_windows(span), "uid bigint, data binary")
     return staged(met.groupBy(F.col("uid").alias("__uid")).agg(F.collect_list("data").alias("__spans")), "repeats-spans")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", span: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", span: int = 200, whole_characters: bool = False) -> DataFrame:
     """``docs`` with ``kept`` (binary) and ``removed`` (array of byte ranges) instead of ``text``.
 
     A byte goes if a string of ``span`` bytes that covers it also starts anywhere else, in the same text or another; strings are
-    judged on the input and never cross texts. A null text is empty and loses nothing; repeated rows repeat each other's text; other
-    columns pass through, but for ones named kept or removed, which are replaced; an empty table gives no rows. Rows are known by a
-    64-bit hash of id and text, phrases and windows by 64-bit hashes.
+    judged on the input and never cross texts. With ``whole_characters`` a character that a range splits goes whole. A null text is
+    empty and loses nothing; repeated rows repeat each other's text; other columns pass through, but for ones named kept or removed,
+    which are replaced; an empty table gives no rows. Of equal texts one is parsed, as all of them go whole. Rows are known by a 64-bit
+    hash of id and text, equal texts by two hashes (64 and 32 bits) and their size; phrases and windows are compared by their bytes.
+    ``span`` is at least 32.
     """
     spark = docs.sparkSession
     text_batches(spark)
     rest = [c for c in docs.columns if c not in (text, "kept", "removed")]
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(*rest, raw.alias("__bytes"), F.xxhash64(raw).alias("__h"))
+    rows = docs.select(*rest, raw.alias("__bytes"), F.xxhash64(raw).alias("__h"), F.hash(raw).alias("__h2"))
     rows = rows.withColumn("__uid", F.xxhash64(*[c for c in rest if c == "doc_id"], F.col("__h"), F.lit(span)))
     lines = rows.where(F.octet_length("__bytes") >= span)
-    copies = lines.groupBy("__h").agg(F.count(F.lit(1)).alias("n"), F.min("__uid").alias("lead"))
-    copies = staged(copies.where("n > 1").select("__h", "lead"), "repeats-copies")
-    spans = _spans(lines, copies, _wanted(lines, span), span)
+    same = ["__h", "__h2", "__size"]
+    sized = lines.withColumn("__size", F.octet_length("__bytes"))
+    equal = staged(sized.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("__uid").alias("lead")), "repeats-texts")
+    copies = staged(equal.where("n > 1").select(*same, "lead"), "repeats-copies")
+    shards = max(2 * width(spark), (equal.agg(F.sum(F.col("__size").cast("bigint"))).first()[0] or 0) // SHARD_BYTES)
+    single = sized.join(hinted(copies, 2_000_000), same, "left").where("lead is null or lead = __uid").select("__uid", "__bytes")
+    spans = _spans(single, _wanted(single, shards, span), shards, span)
     release(spark)
-    marked = rows.join(hinted(copies.select("__h", F.lit(True).alias("__copied")), 2_000_000), "__h", "left").join(spans, "__uid", "left")
+    marked = rows.withColumn("__size", F.octet_length("__bytes")).join(hinted(copies.select(*same, F.lit(True).alias("__copied")), 2_000_000), same, "left").join(spans, "__uid", "left")
     marked = marked.withColumn("__copied", F.coalesce("__copied", F.lit(False)))
     schema = docs.select(*rest).withColumn("kept", F.lit(b"")).withColumn("removed", F.array(F.struct(F.lit(0).cast("bigint").alias("from"), F.lit(0).cast("bigint").alias("to")))).schema
     for f in (schema["kept"], schema["removed"]):
         f.nullable = True
-    return marked.mapInArrow(_cut(rest), schema)
+    return marked.mapInArrow(_cut(rest, whole_characters), schema)

@@ -65,7 +65,7 @@ def test_periodic_null_empty_and_edges(spark):
 def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 700)
     texts = made(5, 200, 30)
-    got = repeats.Phrases([t.encode() for t in texts], 200, True)
+    got = repeats.Phrases([t.encode() for t in texts], 200)
     assert got.windows.sum() == sum(max(0, len(t.encode()) - 199) for t in texts)
     rng = random.Random(4)
     long = "".join(rng.choice("abcdefgh") for _ in range(9000))
@@ -78,3 +78,46 @@ def test_repeated_rows_and_empty_table(spark):
     rows = sorted((r.doc_id or 0, bytes(r.kept)) for r in repeats.remove_repeats(table).collect())
     assert rows == [(0, b"short"), (0, b"x"), (1, b""), (1, b"")]
     assert repeats.remove_repeats(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("span", [32, 64, 100, 200])
+def test_suffix_ranks_are_the_order_of_the_bytes(span):
+    import numpy as np
+
+    rng = random.Random(span)
+    block = bytes(rng.choices(b"ab", k=300))
+    raw = block + bytes(rng.choices(b"abc", k=400)) + block[20:280] + b"\xff" * 230 + b"\x00" * 230
+    at = np.array(rng.sample(range(len(raw) - span + 1), 500))
+    strings = [raw[k : k + span] for k in at.tolist()]
+    order = {x: k for k, x in enumerate(sorted(set(strings)))}
+    assert repeats.suffix_ranks(np.frombuffer(raw, np.uint8), at, span).tolist() == [order[x] for x in strings]
+
+
+def test_equal_hashes_of_unequal_bytes_remove_nothing(spark, monkeypatch):
+    """All windows share one trigger value, so everything meets in one shard and only bytes tell windows apart."""
+    import numpy as np
+
+    texts = made(8, 200, 12)
+    plain = repeats.Phrases._parse
+
+    def parse(self, batch):
+        out = plain(self, batch)
+        return [*out[:3], np.zeros_like(out[3])]
+
+    monkeypatch.setattr(repeats.Phrases, "_parse", parse)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    lines = [t.encode() for _, t in rows if len(t.encode()) >= 200]
+    p = repeats.Phrases(lines, 200)
+    parts = [lines[r][x : x + n + 199] for r, x, n in zip(p.row.tolist(), p.start.tolist(), p.windows.tolist())]
+    which, first = repeats._distinct(parts)
+    hit = repeats._met_again([parts[k] for k in first], p.windows[first], p.trigger[first], 200)
+    windows = [parts[k][x : x + 200] for k in first for x in range(p.windows[k])]
+    seen = Counter(windows)
+    assert hit.tolist() == [seen[w] > 1 for w in windows]
+
+
+def test_whole_characters_go(spark):
+    shared = "".join(random.Random(2).choices("abcdefgh", k=300))
+    table = spark.createDataFrame([(1, "é" + shared + "é a\ufffdb"), (2, "ê" + shared + "ê b"), (3, "x" + shared)], "doc_id long, text string")
+    out = {r.doc_id: bytes(r.kept).decode() for r in repeats.remove_repeats(table, whole_characters=True).collect()}
+    assert out == {1: "é a\ufffdb", 2: "ê b", 3: "x"}
