@@ -60,9 +60,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; a character that a cut splits goes whole."""
-    cut = repeats.remove_repeats(docs.select(*COLUMNS))
-    text = F.coalesce(F.try_validate_utf8("kept"), F.regexp_replace(F.make_valid_utf8("kept"), "�", ""))
-    return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+    cut = repeats.remove_repeats(docs.select(*COLUMNS), whole_characters=True)
+    return cut.withColumn("text", F.make_valid_utf8("kept")).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
