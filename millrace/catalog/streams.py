@@ -11,10 +11,10 @@ from ..operators import cep
 from ..plans import questions
 from ..plans.query import Query, Store
 from ..plans.sql import StreamingSql
-from ..session import table
 from ..streaming import patterns, stateful
 from ..streaming.dsl import Stream, Table
-from ..streaming.run import drain, replay, scratch
+from ..session import scratch, table
+from ..streaming.run import drain, replay
 from . import query
 from .events import _LATEST
 

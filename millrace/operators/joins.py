@@ -5,22 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import seconds, time_cell
 from .tables import latest
 
 
+#: Rows up to which a table may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, before: str, after: str, how: str = "inner") -> DataFrame:
     """Rows of equal keys with right_ts in [left_ts - before, left_ts + after]; works on streams that have watermarks.
 
-    Right columns of the keys' names are dropped; other columns need names of their own.
+    Tables also meet by cells of time, so a hot key forms pairs of neighbouring times only: a left row lies in one cell, a right row in
+    the two or three cells whose rows it may join. Right columns of the keys' names are dropped, but for right and full joins; other
+    columns need names of their own.
     """
     right = right.select(*(F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns))
-    on = [F.col(k) == F.col(f"__r_{k}") for k in keys]
-    on += [F.col(right_ts) >= F.col(left_ts) - F.expr(f"interval {before}"), F.col(right_ts) <= F.col(left_ts) + F.expr(f"interval {after}")]
-    test = on[0]
-    for x in on[1:]:
-        test = test & x
-    joined = left.join(right, test, how)
-    return joined.drop(*(f"__r_{k}" for k in keys)) if how in ("inner", "leftOuter", "left") else joined
+    how = {"leftouter": "left", "fullouter": "full", "outer": "full", "rightouter": "right", "leftanti": "left_anti", "leftsemi": "left_semi"}.get(how.lower().replace("_", ""), how)
+    test = (F.col(right_ts) >= F.col(left_ts) - F.expr(f"interval {before}")) & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"interval {after}"))
+    for k in keys:
+        test = test & (F.col(k) == F.col(f"__r_{k}"))
+    drop = [f"__r_{k}" for k in keys] if how in ("inner", "left") else []
+    if left.isStreaming or right.isStreaming:
+        return left.join(right, test, how).drop(*drop)
+    size = max(1, seconds(before) + seconds(after))
+
+    def meet(one: DataFrame, ts: str, other: DataFrame, other_ts: str, least: str, most: str, how: str) -> DataFrame:
+        """Rows of ``one`` in their cell, of ``other`` in the cells of those they may join."""
+        one = one.withColumn("__cell", time_cell(F.col(ts), size))
+        ends = (time_cell(F.col(other_ts) - F.expr(f"interval {least}"), size), time_cell(F.col(other_ts) + F.expr(f"interval {most}"), size))
+        other = other.withColumn("__cells", F.explode(F.sequence(*ends)))
+        return one.join(other, test & (F.col("__cell") == F.col("__cells")), how).drop("__cell", "__cells")
+
+    if how in ("right", "full"):
+        out = meet(left, left_ts, right, right_ts, after, before, "inner" if how == "right" else "left")
+        return out.unionByName(meet(right, right_ts, left, left_ts, before, after, "left_anti"), allowMissingColumns=True).select(*left.columns, *right.columns)
+    return meet(left, left_ts, right, right_ts, after, before, how).drop(*drop)
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, take: list[str], strict: bool = False) -> DataFrame:
@@ -44,8 +64,9 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], left_order: l
 
 
 def lookup(stream: DataFrame, table: DataFrame, on: list[str] | Column, how: str = "inner", small: bool = False) -> DataFrame:
-    """Stream rows with the current row of a table; ``small`` declares a table that fits every executor."""
-    return stream.join(F.broadcast(table) if small else table, on, how)
+    """Stream rows with the current row of a table; a table declared ``small`` is counted, and broadcast up to 200,000 rows."""
+    fits = small and not table.isStreaming and table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return stream.join(F.broadcast(table) if fits else table, on, how)
 
 
 def table_join(left: DataFrame, right: DataFrame, key: str, order: str, how: str = "inner") -> DataFrame:
@@ -70,8 +91,15 @@ def last_state(df: DataFrame, keys: list[str], order: list[str], value: Column,
 
 
 def expand_range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, size: float) -> DataFrame:
-    """Points with the ranges that hold them (both ends included), as an equi-join on cells of ``size`` instead of a nested loop."""
-    cell = lambda c: F.floor(F.col(c) / F.lit(size)).cast("bigint")
-    p = points.withColumn("__cell", cell(point))
-    r = ranges.withColumn("__cell", F.explode(F.sequence(cell(low), cell(high))))
-    return p.join(r, "__cell").where(F.col(point).between(F.col(low), F.col(high))).drop("__cell")
+    """Points with the ranges that hold them (both ends included), as an equi-join on cells instead of a nested loop.
+
+    A range of up to ``size`` lies in at most two cells of that size, one of up to twice as much in two cells twice as wide, and so on: a
+    range is two rows at most, a point one row for each width that occurs.
+    """
+    level = F.greatest(F.lit(0), F.ceil(F.log2((F.col(high) - F.col(low)).cast("double") / F.lit(float(size))))).cast("int")
+    cell = lambda c, at: F.floor(F.col(c) / (F.lit(float(size)) * F.pow(F.lit(2.0), at))).cast("bigint")
+    levelled = ranges.where(F.col(low) <= F.col(high)).withColumn("__level", F.coalesce(level, F.lit(0)))
+    levels = [r[0] for r in levelled.select("__level").distinct().collect()]  # some sixty at most
+    r = levelled.withColumn("__cell", F.explode(F.array_distinct(F.array(cell(low, F.col("__level")), cell(high, F.col("__level"))))))
+    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    return p.withColumn("__cell", cell(point, F.col("__level"))).join(r, ["__level", "__cell"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__cell", "__level")

@@ -6,6 +6,7 @@ Every node is Column expressions over the record, so a pipeline of nodes is one
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, Numeric
 
 from ..functions.conditions import condition
 from ..functions.dialect import truthy_text, wire_payload, wire_schema_id
+from .joins import interval_join
+from .ranges import numbered
 
 NUMBERS = {"int32": "int", "int64": "bigint", "float32": "float", "float64": "double"}
 
@@ -28,14 +31,21 @@ def records(df: DataFrame, key: Column | None = None, value: Column | None = Non
     )
 
 
+def _map(value: Column) -> Column:
+    """A JSON object as map<string,variant>, parsed once, fields in order; null for what is no object or no JSON."""
+    return F.from_json(value, "map<string,variant>")
+
+
 def _fields(value: Column) -> Column:
     """Top-level fields of a JSON object: array<struct<key, value>>, values as JSON texts in order."""
-    return F.transform(F.json_object_keys(value), lambda k: F.struct(k.alias("key"), _raw(value, k).alias("value")))
+    return F.transform(F.map_entries(_map(value)), lambda f: F.struct(f["key"].alias("key"), F.to_json(f["value"]).alias("value")))
 
 
-def _raw(value: Column, key: Column) -> Column:
-    """One field as JSON text."""
-    return F.to_json(F.variant_get(F.parse_json(value), F.concat(F.lit("$['"), key, F.lit("']")), "variant"))
+def _text(value: Column, field: str) -> Column:
+    """A field as text, or what lies at a dotted path; names of other characters are taken as they are."""
+    if re.fullmatch(r"[\w.]+", field):
+        return F.get_json_object(value, f"$.{field}")
+    return F.try_element_at(_map(value), F.lit(field)).cast("string")
 
 
 def _object(fields: Column) -> Column:
@@ -60,12 +70,12 @@ def map_node(df: DataFrame, mapping: dict[str, str], schema: str | None = None)
 
 
 def replace_field(df: DataFrame, include: list[str] = (), exclude: list[str] = (), rename: dict[str, str] | None = None) -> DataFrame:
-    fields = _fields(F.col("value"))
-    if include:
-        fields = F.filter(fields, lambda f: f["key"].isin(*include))
-    if exclude:
-        fields = F.filter(fields, lambda f: ~f["key"].isin(*exclude))
-    for old, new in (rename or {}).items():
+    """Values with some fields only, without some, or with new names; a value that is no JSON object becomes null."""
+    keep = lambda k: (k.isin(*include) if include else F.lit(True)) & (~k.isin(*exclude) if exclude else F.lit(True))
+    if not rename:
+        return df.withColumn("value", F.to_json(F.map_filter(_map(F.col("value")), lambda k, _: keep(k))))
+    fields = F.filter(_fields(F.col("value")), lambda f: keep(f["key"]))
+    for old, new in rename.items():
         fields = _renamed(fields, old, new)
     return df.withColumn("value", _object(fields))
 
@@ -143,13 +153,13 @@ def mask_field(df: DataFrame, paths: list[str], schema: str, custom: str | None
 
 def value_to_key(df: DataFrame, fields: list[str]) -> DataFrame:
     """One field becomes the key as it is, several as a JSON object."""
-    found = {f: F.get_json_object("value", f"$.{f}") for f in fields}
+    found = {f: _text(F.col("value"), f) for f in fields}
     return df.withColumn("key", found[fields[0]] if len(fields) == 1 else F.to_json(F.struct(*(c.alias(n) for n, c in found.items()))))
 
 
 def header_from(df: DataFrame, fields: dict[str, str], move: bool = False) -> DataFrame:
     """Copies or moves fields into headers: {field: header}."""
-    made = F.map_from_arrays(F.array(*(F.lit(h) for h in fields.values())), F.array(*(F.get_json_object("value", f"$.{f}") for f in fields)))
+    made = F.map_from_arrays(F.array(*(F.lit(h) for h in fields.values())), F.array(*(_text(F.col("value"), f) for f in fields)))
     merged = F.map_concat(F.map_filter("headers", lambda k, _: ~k.isin(*fields.values())), made)
     out = df.withColumn("headers", merged)
     return replace_field(out, exclude=list(fields)) if move else out
@@ -157,10 +167,9 @@ def header_from(df: DataFrame, fields: dict[str, str], move: bool = False) -> Da
 
 def header_to(df: DataFrame, headers: dict[str, str], move: bool = False) -> DataFrame:
     """Copies or moves headers into fields: {header: field}."""
-    added = F.array(*(F.struct(F.lit(f).alias("key"), F.to_json(F.struct(F.col("headers")[h].alias("x"))).alias("value")) for h, f in headers.items()))
-    added = F.transform(added, lambda a: F.struct(a["key"].alias("key"), F.when(a["value"] != "{}", F.substr(a["value"], F.lit(6), F.length(a["value"]) - 6)).alias("value")))
-    own = F.filter(_fields(F.col("value")), lambda f: ~f["key"].isin(*headers.values()))
-    out = df.withColumn("value", _object(F.concat(own, added)))
+    added = [F.concat(F.lit(json.dumps(f) + ":"), F.coalesce(_quoted(F.col("headers")[h]), F.lit("null"))) for h, f in headers.items()]
+    own = F.to_json(F.map_filter(_map(F.col("value")), lambda k, _: ~k.isin(*headers.values())))
+    out = df.withColumn("value", F.when(own.isNotNull(), _joined(_inside(own), *added)))
     return out.withColumn("headers", F.map_filter("headers", lambda k, _: ~k.isin(*headers))) if move else out
 
 
@@ -183,19 +192,33 @@ def inspect(df: DataFrame, mode: str = "full") -> DataFrame:
 
 def split(df: DataFrame, path: str, keep_parent: bool = False) -> DataFrame:
     """A record for each element of an array: objects as they are, scalars as {"item": x}; ``_index`` counts from 0."""
-    items = F.from_json(F.get_json_object("value", path), "array<string>")
-    out = df.select("*", F.posexplode(items).alias("__i", "__item"))
-    is_object = F.col("__item").startswith("{")
-    body = F.when(is_object, _fields(F.when(is_object, F.col("__item")))).otherwise(F.array(F.struct(F.lit("item").alias("key"), F.coalesce(F.when(F.col("__item").try_cast("double").isNotNull(), F.col("__item")), _quoted(F.col("__item"))).alias("value"))))
-    index = F.array(F.struct(F.lit("_index").alias("key"), F.col("__i").cast("string").alias("value")))
     field = path.removeprefix("$.")
-    parent = F.filter(_fields(F.col("value")), lambda f: f["key"] != field) if keep_parent else F.array().cast("array<struct<key:string,value:string>>")
-    return out.withColumn("value", _object(F.concat(parent, body, index))).drop("__i", "__item")
+    if keep_parent and re.fullmatch(r"\w+", field):  # one parse gives the elements and the parent's other fields
+        out = df.withColumn("__m", _map(F.col("value"))).withColumn("__a", F.try_element_at("__m", F.lit(field)).try_cast("array<variant>"))
+    else:
+        out = df.withColumn("__a", F.from_json(F.get_json_object("value", path), "array<variant>"))
+    rest = lambda m: F.to_json(F.map_filter(m, lambda k, _: k != field))
+    out = out.withColumn("__p", _inside(rest(F.col("__m") if "__m" in out.columns else _map(F.col("value")))) if keep_parent else F.lit(""))
+    out = out.select(*df.columns, "__p", F.posexplode("__a").alias("__i", "__v")).withColumn("__j", F.to_json("__v"))
+    body = F.when(F.col("__j").startswith("{"), _inside(F.col("__j"))).otherwise(F.concat(F.lit('"item":'), F.coalesce("__j", F.lit("null"))))
+    value = _joined(F.col("__p"), body, F.concat(F.lit('"_index":'), F.col("__i").cast("string")))
+    return out.withColumn("value", value).drop("__p", "__i", "__v", "__j")
+
+
+def _joined(*parts: Column) -> Column:
+    """A JSON object of parts that aren't empty."""
+    return F.concat(F.lit("{"), F.array_join(F.filter(F.array(*parts), lambda x: x != ""), ","), F.lit("}"))
+
+
+def _inside(json_object: Column) -> Column:
+    """What stands between the braces of a JSON object; empty for null."""
+    return F.coalesce(F.substr(json_object, F.lit(2), F.length(json_object) - 2), F.lit(""))
 
 
 def _quoted(text: Column) -> Column:
+    """A text as JSON; null for null."""
     whole = F.to_json(F.struct(text.alias("x")))
-    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+    return F.when(text.isNotNull(), F.substr(whole, F.lit(6), F.length(whole) - 6))
 
 
 def convert_timestamp(df: DataFrame, field: str, to: str, schema: str) -> DataFrame:
@@ -252,17 +275,19 @@ def priority(df: DataFrame, field: str, default: float, batch: Column, order: li
     return df.withColumn("place", F.row_number().over(w))
 
 
-def repartition(df: DataFrame, partitions: int, how: str = "key", field: str | None = None, static: int = 0) -> DataFrame:
-    """Records with the partition they go to: static, round_robin (each task deals its own rows in turn), field or key."""
+def repartition(df: DataFrame, partitions: int, how: str = "key", field: str | None = None, static: int = 0, order: list[str] = ()) -> DataFrame:
+    """Records with the partition they go to: static, round_robin (in turn by ``order``, or in each task's own turn without one), field or key."""
     if how == "static":
         return df.withColumn("partition", F.lit(static))
+    if how == "round_robin" and order:
+        return numbered(df, list(order), "__n").withColumn("partition", (F.col("__n") % partitions).cast("int")).drop("__n")
     if how == "round_robin":
         return df.withColumn("partition", (F.monotonically_increasing_id() % partitions).cast("int"))
     key = F.get_json_object("value", f"$.{field}") if how == "field" else F.col("key")
     return df.withColumn("partition", F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int"))
 
 
-def gate(df: DataFrame, signals: DataFrame, ts: str, buffer: bool = True, open_first: bool = True, slice_seconds: int = 86_400) -> DataFrame:
+def gate(df: DataFrame, signals: DataFrame, ts: str, buffer: bool = True, open_first: bool = True, slice_seconds: int = 600) -> DataFrame:
     """Records that a gate lets through, with ``released_at``. ``signals`` (ts, is_open) open and close it; while it is closed records wait
     for the next opening if ``buffer``, else they are dropped.
 
@@ -288,9 +313,8 @@ def gate(df: DataFrame, signals: DataFrame, ts: str, buffer: bool = True, open_f
 
 def wait_for_input(left: DataFrame, right: DataFrame, key: str, ts: str, timeout: str) -> tuple[DataFrame, DataFrame]:
     """(pairs of records of a key within the timeout, left records that none joined in time)."""
-    r = right.select(F.col(key).alias("__k"), F.col(ts).alias("__ts"), F.struct(*[c for c in right.columns if c != key]).alias("other"))
-    test = (F.col(key) == F.col("__k")) & F.col("__ts").between(F.col(ts) - F.expr(f"interval {timeout}"), F.col(ts) + F.expr(f"interval {timeout}"))
-    return left.join(r, test).drop("__k", "__ts"), left.join(r, test, "left_anti")
+    r = right.select(F.col(key), F.col(ts).alias("__ts"), F.struct(*[c for c in right.columns if c != key]).alias("other"))
+    return interval_join(left, r, [key], ts, "__ts", timeout, timeout).drop("__ts"), interval_join(left, r, [key], ts, "__ts", timeout, timeout, "left_anti")
 
 
 def loop(df: DataFrame, body, times: int) -> DataFrame:

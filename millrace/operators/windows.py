@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import greatest_before
+
 #: Days from 0001-01-01, to which the SQL dialect aligns windows, to 1970-01-01.
 DAYS_TO_EPOCH = 719_162
 
@@ -54,6 +56,9 @@ def running_watermark(ts: str, order: list[str], delay_ms: int, keys: list[str]
 
 def late_split(df: DataFrame, ts: str, order: list[str], delay: str, keys: list[str] = ()) -> DataFrame:
     """Rows of a replay with ``is_late``: earlier than the greatest time before them less the delay."""
+    if not keys:
+        late = F.col(ts) < F.col("__before") - F.expr(f"interval {delay}")
+        return greatest_before(df, ts, order, "__before").withColumn("is_late", F.coalesce(late, F.lit(False))).drop("__before")
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("is_late", F.coalesce(F.col(ts) < F.max(ts).over(w) - F.expr(f"interval {delay}"), F.lit(False)))
 

@@ -5,24 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import discard, scratch
+
 
 @dataclass
 class View:
     name: str
     query: str
     snapshot: DataFrame | None = None
+    path: str | None = None
     refreshes: int = 0
     properties: dict[str, str] = field(default_factory=dict)
 
 
 class Views:
-    """Views by name, any case. A refresh recomputes a view and swaps its snapshot in one step; readers see the old or the new one."""
+    """Views by name, any case. A refresh computes a view, stores its rows, and swaps the snapshot in one step; readers see the old or the new one.
+
+    A snapshot is a table in the session's scratch folder. The one before it stays for those who still read it and goes at the next refresh.
+    """
 
-    def __init__(self, run: Callable[[str], DataFrame]):
-        self._run, self._views = run, {}
+    def __init__(self, spark: SparkSession, run: Callable[[str], DataFrame]):
+        self._spark, self._run, self._views = spark, run, {}
+        self._former: dict[str, str] = {}
 
     def __contains__(self, name: str) -> bool:
         return name.lower() in self._views
@@ -38,15 +45,21 @@ class Views:
     def drop(self, name: str, if_exists: bool = False) -> None:
         if name not in self and not if_exists:
             raise KeyError(name)
-        if (view := self._views.pop(name.lower(), None)) and view.snapshot is not None:
-            view.snapshot.unpersist()
+        if view := self._views.pop(name.lower(), None):
+            for path in (view.path, self._former.pop(name.lower(), None)):
+                if path:
+                    discard(self._spark, path)
 
     def refresh(self, name: str) -> View:
         view = self._views[name.lower()]
-        old, view.snapshot = view.snapshot, self._run(view.query).persist()
+        rows, path = self._run(view.query), scratch(self._spark, f"view-{name.lower()}")
+        rows.write.parquet(path)
+        if gone := self._former.pop(name.lower(), None):
+            discard(self._spark, gone)
+        if view.path:
+            self._former[name.lower()] = view.path
+        view.snapshot, view.path = self._spark.read.schema(rows.schema).parquet(path), path
         view.refreshes += 1
-        if old is not None:
-            old.unpersist()
         return view
 
     def read(self, name: str) -> DataFrame:

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
+
 RAW = "offset bigint, partition int, timestamp timestamp, key string, value string, headers map<string,string>"
 
 
 def topic_of(df: DataFrame, key: str, order: list[str], timestamp: str, value: Column | None = None, partitions: int = 4) -> DataFrame:
     """Rows of a table as the records of a topic, dealt over partitions by key, offsets counted within each partition.
 
-    Offsets are a running number per partition, so this is for replaying tables; a live topic brings its own.
+    Offsets are a running number per partition, counted range by range, so one partition needn't pass through one task; a live topic
+    brings its own.
     """
     value = F.to_json(F.struct(*df.columns)) if value is None else value
     part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(partitions)).cast("int")
     with_part = df.select("*", part.alias("__p"))
-    offset = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return with_part.select(offset.cast("bigint").alias("offset"), F.col("__p").alias("partition"), F.col(timestamp).alias("timestamp"), F.col(key).cast("string").alias("key"), value.alias("value"), F.lit(None).cast("map<string,string>").alias("headers"))
+    return numbered(with_part, order, "__offset", ["__p"]).select(F.col("__offset").alias("offset"), F.col("__p").alias("partition"), F.col(timestamp).alias("timestamp"), F.col(key).cast("string").alias("key"), value.alias("value"), F.lit(None).cast("map<string,string>").alias("headers"))
 
 
 def topic_scan(raw: DataFrame, schema: str, headers: list[str] = (), limit: int | None = None) -> DataFrame:

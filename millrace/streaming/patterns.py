@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.cep import Pattern, _bounded, _regex
+from ..operators.cep import Pattern, _bounded, _regex, counted, taken
+from ..operators.ranges import seconds
 
 
 class Matcher(StatefulProcessor):
@@ -23,6 +24,8 @@ class Matcher(StatefulProcessor):
 
     def __init__(self, pattern: Pattern, limit_ms: int | None):
         self.expression, self.width, self.limit = _regex(pattern), len(pattern.steps) + 2, limit_ms
+        self.counts = counted(pattern)
+        self.grows = any(most is None or most > pattern.steps[k].least for k, most in self.counts)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("events", "events string")
@@ -43,10 +46,10 @@ class Matcher(StatefulProcessor):
                     at += self.width
                     continue
             a, b = (m.start() + shift) // self.width, (m.end() + shift) // self.width
-            if b == len(held) and any(q in self.expression.pattern for q in (",}", "*", "+")):
+            if b == len(held) and self.grows:
                 break  # a later event may lengthen it
             if b > a:
-                yield Row(key=key[0], start_id=held[a][1], end_id=held[b - 1][1], n_events=b - a)
+                yield Row(key=key[0], start_id=held[a][1], end_id=held[b - 1][1], n_events=taken(m, self.counts))
                 at = m.end() + shift
             else:
                 at = (a + 1) * self.width
@@ -64,8 +67,5 @@ def match_stream(stream: DataFrame, pattern: Pattern, key: str, ts: str, event:
     """(key, start_id, end_id, n_events) of a stream's matches; each event belongs to one match at most."""
     symbol = F.concat(F.lit("<"), *(F.coalesce(s.test, F.lit(False)).cast("int").cast("string") for s in pattern.steps), F.lit(">"))
     rows = stream.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ms"), F.col(event).cast("bigint").alias("id"), symbol.alias("symbol"))
-    limit = None
-    if pattern.limit:
-        amount, unit = pattern.limit.split()
-        limit = int(amount) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1_000_000
+    limit = 1_000_000 * seconds(pattern.limit) if pattern.limit else None
     return rows.groupBy("key").transformWithState(statefulProcessor=Matcher(pattern, limit), outputStructType="key string, start_id bigint, end_id bigint, n_events bigint", outputMode="Update", timeMode="None")

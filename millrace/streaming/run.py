@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import SETTINGS
+from ..session import SETTINGS, scratch
 
 
 def replay(spark: SparkSession, directory: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -19,21 +16,21 @@ def replay(spark: SparkSession, directory: str, name: str, files_per_trigger: in
     return read.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place that the session names, or a local one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream has put out once its input is read: a table of the last result (complete) or of all output (append, update)."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", SETTINGS["spark.sql.streaming.stateStore.providerClass"])
     out, checkpoint = scratch(spark, "stream-out"), scratch(spark, "stream-state")
 
+    wrote: list[int] = []
+
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        """A batch that is tried again overwrites what it wrote."""
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/__batch={number}")
+        wrote.append(number)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if not wrote:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)

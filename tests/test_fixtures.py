@@ -262,8 +262,152 @@ def test_stream_matcher_within_takes_the_shorter_run():
 
     matcher = object.__new__(Matcher)
     matcher.expression, matcher.width, matcher.limit = cep.re.compile("(?P<s0>(?:<1>){1,})"), 3, 60
+    matcher.counts, matcher.grows = ((0, None),), True
     kept = []
     matcher.state = SimpleNamespace(exists=lambda: bool(kept), get=lambda: kept[-1], update=kept.append)
     event = lambda m: SimpleNamespace(ms=m, id=m, symbol="<1>")
     found = [tuple(r) for batch in ([0, 30, 120], [130, 200]) for r in matcher.handleInputRows(("k",), iter([event(m) for m in batch]), None)]
     assert found == [("k", 0, 30, 2), ("k", 120, 130, 2)]
+
+
+def _letters(spark, text, seconds=None):
+    rows = [("k", i, s) for i, s in enumerate(text)]
+    at = F.col("i") if seconds is None else F.element_at(F.array(*map(F.lit, seconds)), F.col("i") + 1)
+    return spark.createDataFrame(rows, "k string, i int, s string").withColumn("ts", F.lit(BASE) + F.make_dt_interval(secs=at.cast("double")))
+
+
+def test_not_followed_by_counts_from_the_first_event(spark):
+    s = F.col("s")
+    p = cep.Pattern.begin("a", s == "a").followed_by("b", s == "b").not_followed_by("c", s == "c").within("10 seconds")
+    find = lambda text, at: rows(cep.match(_letters(spark, text, at), p, ["k"], "ts", ["i"], "i").select("a_id", "b_id"))
+    assert find("abc", [0, 8, 12]) == [(0, 1)]
+    assert find("abc", [0, 8, 10]) == []
+    assert find("abxc", [0, 8, 9, 30]) == [(0, 1)]
+
+
+def test_more_than_ten_steps_keep_their_order(spark):
+    text = "abcdefghijkl"
+    p = cep.Pattern.begin("a", F.col("s") == "a")
+    for c in text[1:]:
+        p = p.followed_by(c, F.col("s") == c)
+    events = _letters(spark, text)
+    assert cep.match(events, p.within("11 seconds"), ["k"], "ts", ["i"], "i").count() == 1
+    assert cep.match(events, p.within("10 seconds"), ["k"], "ts", ["i"], "i").count() == 0
+
+
+@pytest.mark.parametrize("strict, want", [(False, [(0, 5, 4)]), (True, [(0, 2, 2)])])
+def test_relaxed_and_consecutive_repeats(spark, strict, want):
+    s = F.col("s")
+    p = cep.Pattern.begin("a", s == "a").followed_by("b", s == "b").one_or_more()
+    p = p.consecutive() if strict else p
+    found = rows(cep.match_quantified(_letters(spark, "axbxbb"), p, ["k"], "ts", ["i"], "i").select("start_id", "end_id", "n_events"))
+    assert found == want
+    kinds = cep.Pattern.begin("a", F.lit(True)).subtype("s", "a").next("x", F.lit(True)).subtype("s", "x")
+    assert rows(cep.match(_letters(spark, "axbxbb"), kinds, ["k"], "ts", ["i"], "i").select("a_id", "x_id")) == [(0, 1)]
+
+
+def test_followed_by_takes_the_first_event_that_fits_however_patterns_are_run(spark):
+    s = F.col("s")
+    p = cep.Pattern.begin("a", s == "a").followed_by("b", s == "b").next("c", s == "c")
+    for text in ("abxbc", "axbc", "aabc"):
+        one = rows(cep.match(_letters(spark, text), p, ["k"], "ts", ["i"], "i").select("a_id", "c_id"))
+        many = rows(cep.match_quantified(_letters(spark, text), p, ["k"], "ts", ["i"], "i", "no_skip").select("start_id", "end_id"))
+        assert one == many
+
+
+def test_many_keys_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        events = spark.range(400).select(F.pmod("id", F.lit(23)).cast("string").alias("k"), F.when(F.col("id") < 23, None).otherwise(F.lit(1)).alias("k2"), "id", (F.lit(BASE) + F.make_dt_interval(secs=F.col("id").cast("double"))).alias("ts"))
+        p = cep.Pattern.begin("a", F.lit(True)).one_or_more()
+        found = cep.match_quantified(events, p, ["k", "k2"], "ts", ["id"], "id")
+        want = events.groupBy("k", "k2").agg(F.min("id").alias("start_id"), F.max("id").alias("end_id"), F.count("*").alias("n_events"))
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_anti", "left_semi"])
+def test_interval_join_by_cells_equals_the_plain_join(spark, how):
+    left = spark.range(300).select(F.pmod("id", F.lit(3)).alias("k"), F.col("id").alias("l"), F.when(F.col("id") % 17 != 0, F.lit(BASE) + F.make_dt_interval(secs=(F.col("id") * 37 % 5000).cast("double"))).alias("lt"))
+    right = spark.range(200).select(F.pmod("id", F.lit(4)).alias("k"), F.col("id").alias("r"), F.when(F.col("id") % 13 != 0, F.lit(BASE) + F.make_dt_interval(secs=(F.col("id") * 53 % 5000).cast("double"))).alias("rt"))
+    test = (F.col("k") == F.col("__k")) & F.col("rt").between(F.col("lt") - F.expr("interval 1 minute"), F.col("lt") + F.expr("interval 90 seconds"))
+    plain = left.join(right.withColumnRenamed("k", "__k"), test, how)
+    cells = joins.interval_join(left, right, ["k"], "lt", "rt", "1 minute", "90 seconds", how)
+    cols = ["l"] if how.startswith("left_") else ["l", "r"]
+    as_text = lambda df: sorted(map(str, df.select(*cols).collect()))
+    assert as_text(cells) == as_text(plain) and plain.count()
+
+
+def test_ranges_of_any_width_meet_their_points(spark):
+    points = spark.range(0, 2000, 7).select(F.col("id").cast("double").alias("p"))
+    ranges = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 9.0), (3, -50.0, 1500.0), (4, 700.0, 700.5), (5, 20.0, 10.0), (6, 100.0, 1_000_000.0)], "r int, lo double, hi double")
+    want = points.crossJoin(ranges).where("p between lo and hi").select("p", "r")
+    assert rows(joins.expand_range_join(points, ranges, "p", "lo", "hi", 10.0).select("p", "r")) == rows(want)
+
+
+def test_numbers_and_maxima_over_ranges(spark):
+    from millrace.operators.ranges import greatest_before, numbered
+
+    table = spark.range(500).select((F.col("id") * 7919 % 311).alias("v"), F.col("id").alias("i"), F.pmod("id", F.lit(2)).alias("g"))
+    assert rows(numbered(table, ["v", "i"], "n", rows=40)) == rows(numbered(table, ["v", "i"], "n"))
+    assert rows(numbered(table, ["v", "i"], "n", ["g"], rows=40)) == rows(numbered(table, ["v", "i"], "n", ["g"]))
+    assert sorted(map(str, greatest_before(table, "v", ["i"], "top", rows=40).collect())) == sorted(map(str, greatest_before(table, "v", ["i"], "top").collect()))
+
+
+def test_odd_keys_and_bad_records_in_nodes(spark):
+    odd = {"it's": 1, "a.b": "x", "c]['": [1, {"z": 2.5}], 'q"': None, "ok": "5"}
+    df = nodes.records(spark.createDataFrame([(json.dumps(odd),), ("no json",), ("[1]",)], "v string"), F.lit("k"), F.col("v"))
+    out = [r.value for r in nodes.replace_field(df, exclude=["a.b"], rename={"it's": "its"}).collect()]
+    assert json.loads(out[0]) == {"its": 1, "c]['": [1, {"z": 2.5}], 'q"': None, "ok": "5"} and out[1:] == [None, None]
+    assert json.loads(nodes.replace_field(df, include=["it's", 'q"']).first().value) == {"it's": 1, 'q"': None}
+    moved = nodes.header_from(df, {"it's": "h", "ok": "o"}, move=True)
+    assert moved.first().headers == {"h": "1", "o": "5"}
+    assert json.loads(nodes.header_to(moved, {"h": 'n"w'}).first().value)['n"w'] == "1"
+    items = nodes.records(spark.createDataFrame([('{"id":7,"xs":[{"a":1},2,"5",null,[1]]}',), ("no json",)], "v string"), F.lit("k"), F.col("v"))
+    want = [{"a": 1, "_index": 0}, {"item": 2, "_index": 1}, {"item": "5", "_index": 2}, {"item": None, "_index": 3}, {"item": [1], "_index": 4}]
+    assert values(nodes.split(items, "$.xs")) == want
+    assert values(nodes.split(items, "$.xs", keep_parent=True)) == [{"id": 7, **w} for w in want]
+
+
+def test_names_inside_texts_are_left_alone(spark):
+    e = StreamingSql(spark)
+    e.register("orders", spark.createDataFrame([(1, "ship from orders now"), (2, "it's from orders {x}"), (3, "window tumble(ts, 1 day)")], "id int, note string"))
+    assert rows(e.execute("SELECT id FROM orders WHERE note = 'ship from orders now'")) == [(1,)]
+    assert rows(e.execute("SELECT id, 'from orders' AS f FROM orders WHERE note = 'it''s from orders {x}' OR note = 'it\\'s from orders {x}'")) == [(2, "from orders")]
+    assert rows(e.execute("SELECT id FROM orders WHERE note = 'window tumble(ts, 1 day)'")) == [(3,)]
+    assert e.tables_of("SELECT 'from a' FROM b") == ["b"]
+    e.execute("CREATE STREAM x WITH (format='json', note='a, b') AS SELECT 'insert into orders select' AS t FROM orders LIMIT 1")
+    assert rows(e.execute("SELECT * FROM x EMIT CHANGES")) == [("insert into orders select",)]
+
+
+def test_snapshots_and_stored_rows_do_not_follow_their_source(spark, tmp_path):
+    at = str(tmp_path / "t")
+    spark.range(3).write.parquet(at)
+    e = StreamingSql(spark)
+    e.register("t", lambda: spark.read.parquet(at))
+    e.execute("CREATE MATERIALIZED VIEW v AS SELECT id FROM t")
+    e.views.refresh("V")
+    e.execute("CREATE TABLE c AS SELECT id FROM t")
+    e.execute("INSERT INTO c SELECT id + 100 AS id FROM t")
+    held = e.execute("SELECT * FROM v")
+    spark.range(3, 8).write.mode("append").parquet(at)
+    counts = lambda: [e.execute(f"SELECT * FROM {x}").count() for x in ("t", "v", "c")]
+    assert counts() == [8, 3, 6]
+    e.views.refresh("v")
+    assert counts() == [8, 8, 6] and held.count() == 3
+    e.execute("DROP VIEW v")
+
+
+def test_a_batch_that_is_tried_again_counts_once(spark, tmp_path, monkeypatch):
+    from pyspark.sql.streaming.readwriter import DataStreamWriter
+
+    from millrace.streaming import run
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    wrote, plain = [], DataStreamWriter.foreachBatch
+    monkeypatch.setattr(DataStreamWriter, "foreachBatch", lambda self, f: plain(self, lambda batch, n: [wrote.append(f(batch, n)) for _ in range(2)] and None))
+    assert run.drain(stream).count() == 5 and len(wrote) == 2
+    monkeypatch.undo()
+    assert run.drain(stream.where("id < 0")).count() == 0
