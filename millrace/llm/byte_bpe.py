@@ -8,6 +8,7 @@ literals and folds with higher-order functions; ``RankTable`` holds them for num
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 
 import numpy as np
@@ -22,6 +23,8 @@ from .textnum import blocks
 
 BUCKETS = 65_521
 NONE = 2_000_000_000
+#: Words beyond this many bytes are folded one by one, in time that grows little faster than their length.
+LONG = 192
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -148,7 +151,9 @@ class RankTable:
         known = np.fromiter((self.whole.get(w, -1) for w in words), np.int64, len(words))
         counts = np.where(known >= 0, 1, 0)
         pieces: list[tuple[np.ndarray, np.ndarray]] = [(np.flatnonzero(known >= 0), known[known >= 0].astype(np.int32)[:, None])]
-        for n in np.unique(sizes[(known < 0) & (sizes > 0)]):
+        for k in np.flatnonzero((known < 0) & (sizes > LONG)).tolist():
+            pieces.append((np.array([k]), self.fold_long(words[k])[None, :]))
+        for n in np.unique(sizes[(known < 0) & (sizes > 0) & (sizes <= LONG)]):
             rows = np.flatnonzero((sizes == n) & (known < 0))
             step = max(1, 2_000_000 // int(n))
             for k in range(0, len(rows), step):
@@ -163,6 +168,39 @@ class RankTable:
             out[(ends[rows] - counts[rows])[:, None] + np.arange(ids.shape[1])] = ids
         return out, ends
 
+    def _rank(self, left: int, right: int) -> int:
+        """``pair_rank`` of one pair."""
+        key = left << 32 | right
+        at = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while (found := self.slots.item(at)) != key:
+            if found == -1:
+                return NONE
+            at = (at + 1) & (len(self.slots) - 1)
+        return self.merged.item(at)
+
+    def fold_long(self, word: bytes) -> np.ndarray:
+        """The ids of one word: pairs wait in a heap by rank and place, parts are a linked list, so a merge costs a logarithm of the length."""
+        parts = self.byte_ids[np.frombuffer(word, np.uint8)]
+        ranks = self.pair_rank(parts[:-1], parts[1:])
+        at = np.flatnonzero(ranks < NONE)
+        heap = list(zip(ranks[at].tolist(), at.tolist(), strict=True))
+        heapq.heapify(heap)
+        ids: list[int | None] = parts.tolist()
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        while heap:
+            rank, k = heapq.heappop(heap)
+            if ids[k] is None or (m := after[k]) >= n or self._rank(ids[k], ids[m]) != rank:
+                continue  # one of the two has merged with another part since
+            ids[k], ids[m], after[k] = rank, None, after[m]
+            if after[k] < n:
+                before[after[k]] = k
+                if (next_rank := self._rank(rank, ids[after[k]])) < NONE:
+                    heapq.heappush(heap, (next_rank, k))
+            if before[k] >= 0 and (next_rank := self._rank(ids[before[k]], rank)) < NONE:
+                heapq.heappush(heap, (next_rank, before[k]))
+        return np.array([x for x in ids if x is not None], np.int32)
+
     def _fold(self, rows: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Merge the pair of least rank of each row, leftmost among equals, until no row has one; rows that end leave."""
         done, ranks = [], self.pair_rank(ids[:, :-1], ids[:, 1:])
@@ -209,7 +247,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     """``docs`` with the column ``ids`` (array<int>) in place of ``text``: each match of ``pattern`` encoded on its own.
 
     The distinct words of each block of documents are folded together, so nothing is shuffled and a long document costs no more
-    than its words. A null or empty text has no ids; repeated rows are encoded alike; other columns pass through unchanged, whatever
+    than its words; a match of n bytes takes n log n steps at most. A null or empty text has no ids; repeated rows are encoded alike; other columns pass through unchanged, whatever
     their names, but for one named like ``ids``, which is replaced; an empty table gives an empty result.
     """
     text_batches(docs.sparkSession)

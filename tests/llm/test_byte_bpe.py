@@ -63,3 +63,23 @@ def test_query_on_the_small_table(spark, sf_dir):
         assert rows[d.doc_id].n_tokens == len(ids)
         assert rows[d.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert rows[d.doc_id].decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+def test_long_matches_equal_the_library_and_take_no_square_of_their_length():
+    import random
+    import time
+
+    rng = random.Random(1)
+    table, enc = byte_bpe.RankTable(RANKS), library()
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3000))
+    for word in (letters, "a" * 1000, "=" * 777, "na" * 500 + "x", "é" * 400, letters[: byte_bpe.LONG + 1]):
+        data = word.encode()
+        ids, _ = table.encode([data])
+        assert ids.tolist() == enc._core_bpe.encode_single_piece(data)
+        assert table.fold_long(data).tolist() == ids.tolist()
+    million = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)).encode()
+    start = time.time()
+    ids = table.fold_long(million)
+    assert time.time() - start < 60
+    pieces = {rank: token for token, rank in RANKS.items()}
+    assert b"".join(pieces[i] for i in ids.tolist()) == million
