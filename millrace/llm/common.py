@@ -18,9 +18,11 @@ _local: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``; a local one of its own only where it is unset, as in tests."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``; where it is unset, a local one, which only a local session can use."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="millrace-"))
     return base.rstrip("/")
 
@@ -33,7 +35,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, and survives the loss of an executor."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that later ones have taken the place of."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

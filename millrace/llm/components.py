@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 class Union:
@@ -60,6 +60,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         hooks = met.groupBy(F.col("p").alias("id")).agg(F.min("m").alias("h"))
         hooked = staged(met.join(hooks, "id", "left").select("id", F.col("p").alias("old"), F.least("p", "m", "h").alias("q")), "cc-hooked")
         jumped = hooked.join(hooked.select(F.col("id").alias("q"), F.col("q").alias("p")), "q").select("id", "old", "p")
-        at = staged(jumped, "cc-parents")
+        former, at = at, staged(jumped, "cc-parents")
+        discard(former, met, hooked)
         if at.where("old <> p").isEmpty():
             return at.select("id", F.col("p").alias("component_id"))

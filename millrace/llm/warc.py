@@ -1,8 +1,9 @@
 """WARC archives: written and read by Spark's text source, record boundaries verified along successor chains.
 
 Reading cuts files at every ``WARC/1.`` into fragments. Each fragment is a candidate: where its header parses, the
-content length gives the offset of the record that follows it. Pointer jumping from the start of each file, twice as far in
-every round, marks the candidates that the chain reaches; others lie inside payloads and are joined back to their record.
+content length gives the offset of the record that follows it. The task of a split follows the offsets inside it, so each candidate
+points to where its chain leaves the split; pointer jumping from the start of each file, twice as far in every round, finds where the
+chain enters the other splits. What it reaches there is a record; other candidates lie inside payloads and are joined back to theirs.
 A header that holds the magic itself, as in a url, goes on through the following fragments up to its blank line.
 """
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hinted, staged
+from .common import discard, hinted, staged
 
 MAGIC = "WARC/1."
 #: Fixed values of RFC 4648.
@@ -22,7 +23,11 @@ ID_PREFIX = "<urn:uuid:6d696c6c-7261-6365-"
 
 def sha1_base32(data: Column) -> Column:
     """Bare upper-case base32 of the SHA-1 digest."""
-    digest = F.sha1(data)
+    return base32_of(F.sha1(data))
+
+
+def base32_of(digest: Column) -> Column:
+    """Base32 of a SHA-1 digest in hex."""
     five = F.get(F.transform(F.array(digest), lambda d: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substr(d, k * 5 + 1, F.lit(5)), 16, 10).cast("int"))), F.lit(0))
     letter = lambda v, shift: F.substr(F.lit(BASE32), F.shiftright(v, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1))
     return F.array_join(F.transform(five, lambda v: F.concat(*[letter(v, s) for s in (15, 10, 5, 0)])), "")
@@ -49,10 +54,10 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, records_
     ranks after all others, and equal payloads of null page_ids alone are all responses. An empty table writes no record.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    digests = rows.select("page_id", sha1_base32(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("size"))
-    firsts = digests.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = staged(firsts.where("n > 1 and first is not null").select("digest", "first"), "warc-repeats")
-    marked = rows.withColumn("digest", sha1_base32(F.col("html").cast("binary"))).join(hinted(repeated), "digest", "left")
+    digests = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("hex"), F.octet_length("html").alias("size"))
+    firsts = digests.where(F.col("size") >= min_revisit_bytes).groupBy("hex").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = staged(firsts.where("n > 1 and first is not null").select("hex", "first"), "warc-repeats")
+    marked = rows.withColumn("hex", F.sha1(F.col("html").cast("binary"))).join(hinted(repeated), "hex", "left").withColumn("digest", base32_of(F.col("hex")))
     revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first")))
     size = F.octet_length("html").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit("\r\n\r\n"))
@@ -153,15 +158,53 @@ def verify_chain(spark: SparkSession, path: str) -> DataFrame:
     base = sizes.withColumn("base", F.coalesce(F.sum("bytes").over(Window.partitionBy("fid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("bytes")
     placed = frags.join(base, ["fid", "block"]).withColumn("pos", F.col("base") + F.col("at") - len(MAGIC)).drop("base", "at")
     placed = staged(_needs(placed.where("pos >= 0")), "warc-offsets")
-    nodes = placed.select("fid", "pos", (F.col("pos") + F.col("need")).alias("jump"), (F.col("pos") == 0).alias("reached"))
-    reached, rounds = -1, 0
+    exits = staged(placed.select("fid", "block", "pos", "need").groupBy("fid", "block").applyInArrow(_exits, EXIT), "warc-exits")
+    # only the file's start and what some split's chain leads to can be where the chain enters a split
+    led_to = exits.where("exit is not null").select("fid", F.col("exit").alias("pos")).distinct()
+    entries = exits.where("pos > 0").join(led_to, ["fid", "pos"], "left_semi").unionByName(exits.where("pos = 0"))
+    nodes = staged(entries.select("fid", "block", "pos", F.col("exit").alias("jump"), (F.col("pos") == 0).alias("reached")), "warc-jumps")
+    reached = -1
     while (now := nodes.where("reached").count()) > reached:
-        reached, rounds = now, rounds + 1
+        reached = now
         hit = nodes.where("reached and jump is not null").select("fid", F.col("jump").alias("pos"), F.lit(True).alias("hit")).distinct()
         far = nodes.select("fid", F.col("pos").alias("jump"), F.col("jump").alias("farther"))
-        nodes = nodes.join(hit, ["fid", "pos"], "left").join(far, ["fid", "jump"], "left")
-        nodes = staged(nodes.select("fid", "pos", F.col("farther").alias("jump"), (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached")), "warc-jumps")
-    return placed.join(nodes.select("fid", "pos", "reached"), ["fid", "pos"])
+        former, nodes = nodes, nodes.join(hit, ["fid", "pos"], "left").join(far, ["fid", "jump"], "left")
+        nodes = staged(nodes.select("fid", "block", "pos", F.col("farther").alias("jump"), (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached")), "warc-jumps")
+        discard(former)
+    entered = placed.join(nodes.where("reached").select("fid", "block", F.col("pos").alias("entry")), ["fid", "block"], "left")
+    chain = entered.select("fid", "block", "pos", "need", "entry").groupBy("fid", "block").applyInArrow(_follow, "fid bigint, pos bigint")
+    return placed.join(chain.withColumn("on", F.lit(True)), ["fid", "pos"], "left").withColumn("reached", F.coalesce("on", F.lit(False))).drop("on")
+
+
+EXIT = "fid bigint, block bigint, pos bigint, exit bigint"
+
+
+def _links(table: pa.Table) -> tuple[list[int], list[int | None], dict[int, int]]:
+    """Offsets of a split's fragments in order, where each leads, and the place of each offset."""
+    table = table.sort_by("pos")
+    at = table.column("pos").to_pylist()
+    leads = [None if n is None else p + n for p, n in zip(at, table.column("need").to_pylist(), strict=True)]
+    return at, leads, {p: k for k, p in enumerate(at)}
+
+
+def _exits(table: pa.Table) -> pa.Table:
+    """For each fragment of a split the first offset outside the split's fragments that its chain leads to; null where the chain breaks."""
+    at, out, place = _links(table)
+    for k in range(len(at) - 1, -1, -1):
+        if out[k] is not None and (ahead := place.get(out[k])) is not None and ahead > k:
+            out[k] = out[ahead]
+    same = [pa.array([table.column(c)[0].as_py()] * len(at), pa.int64()) for c in ("fid", "block")]
+    return pa.table([*same, pa.array(at, pa.int64()), pa.array(out, pa.int64())], names=["fid", "block", "pos", "exit"])
+
+
+def _follow(table: pa.Table) -> pa.Table:
+    """The fragments of a split that the chain from its entry reaches."""
+    at, leads, place = _links(table)
+    found, now = [], table.column("entry")[0].as_py()
+    while now is not None and (k := place.get(now)) is not None and (not found or now > found[-1]):
+        found.append(now)
+        now = leads[k]
+    return pa.table([pa.array([table.column("fid")[0].as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["fid", "pos"])
 
 
 RECORD = "file_id bigint, split bigint, number bigint, warc_type string, record_id string, target_uri string, headers map<string,string>, http_headers map<string,string>, payload binary"
