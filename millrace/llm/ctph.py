@@ -16,25 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches, width
+from .textnum import powers
 
 MOST = 63
 SPAN = 7
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-ROOT = np.uint64(0x9E3779B97F4A7C15)
-UNROOT = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ROOT and of its inverse up to the n-th, modulo 2**64."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        for k, base in enumerate((ROOT, UNROOT)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
 
 
 def fingerprint(data: bytes) -> str:
@@ -55,7 +42,7 @@ def fingerprint(data: bytes) -> str:
     levels[some] = np.log2((low[some] & (~low[some] + np.uint64(1))).astype(np.float64)).astype(np.int64)
     counts = np.bincount(levels, minlength=34)[::-1].cumsum()[::-1]
     level = next(k for k in range(2, 34) if counts[k] <= MOST)
-    up, down = _power(n)
+    up, down = powers(n)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * up[:n])])
     return f"{level}:{_signature(sums, down, at[levels >= level], n)}:{_signature(sums, down, at[levels > level], n)}"
 
