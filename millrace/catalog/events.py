@@ -246,6 +246,38 @@ def cep_one_or_more(spark, sf):
     return cep.match_quantified(table(spark, sf, "events"), p, ["user_id"], "ts", ORDER, "event_id")
 
 
+_RUNS = "WITH RECURSIVE a AS (SELECT *, row_number() OVER w - row_number() OVER v AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), v AS (PARTITION BY user_id, event_type = 'click' ORDER BY ts, event_id)), c AS (SELECT user_id, g, ts, event_id, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id, g) AS m FROM a WHERE event_type = 'click')"
+
+
+@query("cep_one_or_more_within", _RUNS + ", n AS (SELECT x.user_id, x.g, x.k, x.m, x.event_id, coalesce(min(y.k), any_value(x.m) + 1) AS nxt FROM c x LEFT JOIN c y ON x.user_id = y.user_id AND x.g = y.g AND y.ts > x.ts + INTERVAL 12 HOUR AND y.k > x.k GROUP BY x.user_id, x.g, x.k, x.m, x.event_id), r AS (SELECT * FROM n WHERE k = 1 UNION ALL SELECT n.* FROM r JOIN n ON n.user_id = r.user_id AND n.g = r.g AND n.k = r.nxt) SELECT r.user_id, r.event_id AS start_id, e.event_id AS end_id, CAST(r.nxt - r.k AS BIGINT) AS n_events FROM r JOIN n e ON e.user_id = r.user_id AND e.g = r.g AND e.k = r.nxt - 1")
+def cep_one_or_more_within(spark, sf):
+    p = cep.Pattern.begin("a", F.col("event_type") == "click").one_or_more().within("12 hours")
+    return cep.match_quantified(table(spark, sf, "events"), p, ["user_id"], "ts", ORDER, "event_id")
+
+
+@query("cep_after_match_next", _RUNS + " SELECT user_id, event_id AS start_id, last_value(event_id) OVER (PARTITION BY user_id, g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS end_id, CAST(m - k + 1 AS BIGINT) AS n_events FROM c")
+def cep_after_match_next(spark, sf):
+    p = cep.Pattern.begin("a", F.col("event_type") == "click").one_or_more()
+    return cep.match_quantified(table(spark, sf, "events"), p, ["user_id"], "ts", ORDER, "event_id", "to_next")
+
+
+@query("cep_relaxed_repeats", "WITH v AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'signup'), c AS (SELECT v.user_id, v.event_id AS start_id, e.event_id, row_number() OVER (PARTITION BY v.user_id, v.event_id ORDER BY e.ts, e.event_id) AS k FROM v JOIN events e ON e.user_id = v.user_id AND e.event_type = 'click' AND (e.ts > v.ts OR (e.ts = v.ts AND e.event_id > v.event_id))) SELECT user_id, start_id, event_id AS end_id, CAST(3 AS BIGINT) AS n_events FROM c WHERE k = 2")
+def cep_relaxed_repeats(spark, sf):
+    p = cep.Pattern.begin("a", F.col("event_type") == "signup").followed_by("b", F.col("event_type") == "click").times(2)
+    return cep.match_quantified(table(spark, sf, "events"), p, ["user_id"], "ts", ORDER, "event_id", "no_skip")
+
+
+_SOURCES = ("click", "view", "purchase", "signup", "error")
+_TOP = "max(CASE WHEN event_type = '{0}' THEN ms END) OVER w AS t_{0}"
+_ALIVE = "CASE WHEN t_{0} >= ms - 172800000 THEN t_{0} END"
+
+
+@query("watermark_idle_sources", "SELECT event_id, max(least(" + ", ".join(_ALIVE.format(s) for s in _SOURCES) + ")) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1001 AS watermark FROM (SELECT *, " + ", ".join(_TOP.format(s) for s in _SOURCES) + " FROM (SELECT *, epoch_us(ts) // 1000 AS ms FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))")
+def watermark_idle_sources(spark, sf):
+    """Each user's events from five sources: a source that was silent for two days holds nothing back."""
+    return windows.combined_watermark(table(spark, sf, "events"), "ts", "event_type", list(_SOURCES), ["user_id"], ORDER, 1000, 2 * 86_400_000, "watermark").select("event_id", "watermark")
+
+
 @query("topic_scan", "SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS _offset, CAST(user_id AS VARCHAR) AS _key, event_id, event_type FROM events")
 def topic_scan(spark, sf):
     raw = topics.topic_of(table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts"), "user_id", ["event_id"], "ts", partitions=1)
@@ -277,29 +309,46 @@ def sink_routing(spark, sf):
 
 
 def _upsert(spark, sf, strategy):
-    target = table(spark, sf, "customer").where("c_custkey <= 100").select("c_custkey", "c_acctbal")
-    rows = table(spark, sf, "customer").where("c_custkey between 50 and 150").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal") + 1000).otherwise(F.col("c_acctbal") - 1000).alias("c_acctbal"))
-    return sinks.upsert(target, rows, ["c_custkey"], strategy, "c_acctbal")
+    """All customers; new rows are those of customers with orders, their balance changed, and all suppliers under negative keys."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    changed = F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal") + 1000).otherwise(F.col("c_acctbal") - 1000).alias("c_acctbal")
+    buyers = c.join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", changed)
+    fresh = table(spark, sf, "supplier").select((-1 - F.col("s_suppkey")).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
+    return sinks.upsert(c, buyers.unionByName(fresh), ["c_custkey"], strategy, "c_acctbal")
 
 
 _UP = "CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1000 ELSE c_acctbal - 1000 END"
+_BUYER = "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+_FRESH = " UNION ALL SELECT -1 - s_suppkey, s_acctbal FROM supplier"
 
 
-@query("upsert_update", f"SELECT c_custkey, CASE WHEN c_custkey >= 50 THEN {_UP} ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey <= 150")
+@query("upsert_update", f"SELECT c_custkey, CASE WHEN {_BUYER} THEN {_UP} ELSE c_acctbal END AS c_acctbal FROM customer{_FRESH}")
 def upsert_update(spark, sf):
     return _upsert(spark, sf, "insert_or_update")
 
 
-@query("upsert_skip", f"SELECT c_custkey, CASE WHEN c_custkey > 100 THEN {_UP} ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey <= 150")
+@query("upsert_skip", f"SELECT c_custkey, c_acctbal FROM customer{_FRESH}")
 def upsert_skip(spark, sf):
     return _upsert(spark, sf, "insert_or_skip")
 
 
-@query("upsert_newer", f"SELECT c_custkey, CASE WHEN c_custkey > 100 OR (c_custkey >= 50 AND c_custkey % 2 = 0) THEN {_UP} ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey <= 150")
+@query("upsert_newer", f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND {_BUYER} THEN c_acctbal + 1000 ELSE c_acctbal END AS c_acctbal FROM customer{_FRESH}")
 def upsert_newer(spark, sf):
     return _upsert(spark, sf, "insert_or_update_if_newer")
 
 
+@query("upsert_replace", "SELECT c_custkey, " + _UP + " AS c_acctbal FROM customer WHERE " + _BUYER + _FRESH)
+def upsert_replace(spark, sf):
+    return _upsert(spark, sf, "replace")
+
+
+@query("upsert_fail", f"SELECT c_custkey, c_acctbal FROM customer{_FRESH}")
+def upsert_fail(spark, sf):
+    """New keys only, so nothing fails; a known key fails the job (a test shows it)."""
+    fresh = table(spark, sf, "supplier").select((-1 - F.col("s_suppkey")).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
+    return sinks.upsert(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), fresh, ["c_custkey"], "insert_or_fail")
+
+
 def _upsert_whole(spark, sf, strategy):
     """Each customer's latest order as the target, all customers as new rows; customers without orders are inserted."""
     o = table(spark, sf, "orders")

@@ -241,6 +241,22 @@ def schema_infer(spark, sf):
     return spark.range(1).select(F.lit(found.simpleString()).alias("found"))
 
 
+@query("schema_compatible", "SELECT * FROM (VALUES ('backward', true), ('forward', false), ('full', false), ('none', true)) t(mode, ok)")
+def schema_compatible(spark, sf):
+    """May readers of a nation table with a wider key and a new field that may be null follow the table as it is?"""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    old = table(spark, sf, "nation").schema
+    wide = StructType([StructField(f.name, LongType() if f.name == "n_nationkey" else f.dataType, f.nullable) for f in old.fields]).add("note", "string")
+    rows = [(mode, not schemas.compatible(wide, [old], mode)) for mode in ("backward", "forward", "full", "none")]
+    return spark.createDataFrame(rows, "mode string, ok boolean")
+
+
+@query("schema_statistics", "SELECT 'k' AS field, count(*) AS present, CAST(0 AS BIGINT) AS nulls, false AS nullable, CAST(NULL AS VARCHAR) AS format FROM events")
+def schema_statistics(spark, sf):
+    return schemas.field_statistics(table(spark, sf, "events"), "props")
+
+
 @query("compat_dialect", "SELECT n_nationkey, coalesce(nullif(n_regionkey, 1) = nullif(n_nationkey, 3), (n_regionkey = 1) AND (n_nationkey = 3)) AS same, lower(n_name) = 'france' AS fr FROM nation")
 def compat_dialect(spark, sf):
     a, b = F.nullif("n_regionkey", F.lit(1)), F.nullif("n_nationkey", F.lit(3))

@@ -158,12 +158,12 @@ def sample_fraction(spark, sf):
     return table(spark, sf, "orders").sample(withReplacement=False, fraction=0.1, seed=7).select("o_orderkey")
 
 
-@query("describe_orders", "SELECT 'count' AS summary, CAST(count(o_totalprice) AS VARCHAR) AS n FROM orders")
-def describe_orders(spark, sf):
-    return table(spark, sf, "orders").select("o_totalprice").describe().where("summary = 'count'").withColumnRenamed("o_totalprice", "n")
+_DESCRIBED = {"count": "count(o_totalprice)", "mean": "avg(o_totalprice)", "stddev": "stddev_samp(o_totalprice)", "min": "min(o_totalprice)", "max": "max(o_totalprice)"}
 
 
-_DESCRIBED = {"count": "count(o_totalprice)", "mean": "avg(o_totalprice)", "stddev": "stddev_samp(o_totalprice)", "min": "min(o_totalprice)", "max": "max(o_totalprice)"}
+@query("describe_orders", " UNION ALL ".join(f"SELECT '{k}' AS summary, round(CAST({v.replace('o_totalprice', 'o_custkey')} AS DOUBLE), 2) AS n FROM orders" for k, v in _DESCRIBED.items()))
+def describe_orders(spark, sf):
+    return table(spark, sf, "orders").select("o_custkey").describe().select("summary", F.round(F.col("o_custkey").cast("double"), 2).alias("n"))
 
 
 @query("describe_orders_whole", " UNION ALL ".join(f"SELECT '{k}' AS summary, round(CAST({v} AS DOUBLE), 2) AS n FROM orders" for k, v in _DESCRIBED.items()))
@@ -333,14 +333,14 @@ def set_union_by_name(spark, sf):
     return c.unionByName(table(spark, sf, "supplier").select(F.col("s_name").alias("extra"), F.col("s_nationkey").alias("k")), allowMissingColumns=True)
 
 
-@query("set_intersect", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 50 INTERSECT SELECT s_nationkey FROM supplier")
+@query("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def set_intersect(spark, sf):
-    return table(spark, sf, "customer").where("c_custkey < 50").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf, "supplier").select("s_nationkey"))
 
 
-@query("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
+@query("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
 def set_except(spark, sf):
-    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(spark, sf, "supplier").where("s_suppkey < 20").select("s_nationkey"))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(spark, sf, "supplier").where("s_acctbal > 9000").select("s_nationkey"))
 
 
 @query("set_intersect_whole", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import windows
 from ..operators import cep
 from ..plans import questions
-from ..plans.query import Query, Store
+from ..plans.query import Query, SessionStore, Store, WindowStore
 from ..plans.sql import StreamingSql
 from ..streaming import patterns, stateful
 from ..streaming.dsl import Stream, Table
@@ -78,6 +78,32 @@ def mv_refresh(spark, sf):
     return engine.execute("SELECT * FROM by_priority")
 
 
+@query("mv_append_refresh", "SELECT 'before' AS seen, count(*) AS n FROM orders UNION ALL SELECT 'stale', count(*) FROM orders UNION ALL SELECT 'after', 2 * count(*) FROM orders")
+def mv_append_refresh(spark, sf):
+    """A view of a growing table: rows that come after a refresh show at the next one."""
+    at = scratch(spark, "orders")
+    keys = table(spark, sf, "orders").select("o_orderkey")
+    keys.write.parquet(at)
+    engine = StreamingSql(spark)
+    engine.register("grown", lambda: spark.read.schema(keys.schema).parquet(at))
+    engine.execute("CREATE MATERIALIZED VIEW counted AS SELECT COUNT(*) AS n FROM grown")
+    engine.views.refresh("counted")
+    seen = engine.execute("SELECT 'before' AS seen, n FROM counted")
+    keys.write.mode("append").parquet(at)
+    stale = engine.execute("SELECT 'stale' AS seen, n FROM counted")
+    engine.views.refresh("counted")
+    return seen.unionByName(stale).unionByName(engine.execute("SELECT 'after' AS seen, n FROM counted"))
+
+
+@query("sql_insert_stores", "SELECT n_name FROM nation WHERE n_name LIKE 'A%' UNION ALL SELECT ' from nation ' FROM region")
+def sql_insert_stores(spark, sf):
+    engine = _sql(spark, sf, "nation", "region")
+    engine.execute("CREATE TABLE names AS SELECT n_name FROM nation WHERE n_name LIKE 'A%'")
+    engine.execute("INSERT INTO names SELECT ' from nation ' AS n_name FROM region")
+    engine.register("nation", table(spark, sf, "nation").limit(0))
+    return engine.execute("SELECT n_name FROM names")
+
+
 @query("question_count", "SELECT o_orderstatus, count(*) AS count FROM orders GROUP BY o_orderstatus")
 def question_count(spark, sf):
     return _sql(spark, sf, "orders").execute(questions.guard(questions.to_sql("how many orders per o_orderstatus?")))
@@ -103,6 +129,28 @@ def store_page(spark, sf):
     return Store(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey").page(50, 25)
 
 
+_DAYS = "SELECT user_id AS key, date_trunc('day', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL"
+
+
+def _days(spark, sf):
+    days = windows.tumble(table(spark, sf, "events"), "ts", "1 day", ["user_id"], F.count(F.lit(1)).alias("n"))
+    return days.select(F.col("user_id").alias("key"), "window_start", "n")
+
+
+@query("store_window_fetch", f"SELECT key, window_start, n FROM ({_DAYS}) WHERE window_start BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'")
+def store_window_fetch(spark, sf):
+    store = WindowStore(_days(spark, sf).withColumn("n", F.lit(-1).cast("bigint"))).put(_days(spark, sf))
+    day = lambda d: F.lit(f"2024-01-{d}").cast("timestamp_ntz")
+    return store.fetch_all(day(10), day(20))
+
+
+@query("store_find_sessions", "WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM a), s AS (SELECT user_id AS key, min(ts) AS window_start, max(ts) AS window_end, count(*) AS n FROM b GROUP BY user_id, sid) SELECT * FROM s WHERE key = 7 AND window_end >= TIMESTAMP '2024-01-05' AND window_start <= TIMESTAMP '2024-01-25'")
+def store_find_sessions(spark, sf):
+    found = windows.sessions(table(spark, sf, "events"), "ts", "30 minutes", ["user_id"], F.count(F.lit(1)).alias("n"), with_gap=False)
+    store = SessionStore(found.select(F.col("user_id").alias("key"), "window_start", "window_end", "n"))
+    return store.find_sessions(7, F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-25").cast("timestamp_ntz"))
+
+
 @query("dsl_stream", "SELECT user_id, date_trunc('day', ts) AS window_start, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL")
 def dsl_stream(spark, sf):
     s = Stream(table(spark, sf, "events"), "user_id").filter_not(F.col("event_type") == "error")
@@ -174,6 +222,21 @@ def stream_stateful_count(spark, sf):
     return out.select(F.col("key").cast("bigint").alias("key"), "ord", "output")
 
 
+def _tally(state, row):
+    return str(int(state or 0) + 1), []
+
+
+def _report(state, ms):
+    return None, [state]
+
+
+@query("stream_timers", "SELECT CAST(user_id AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS output, epoch_us(date_trunc('day', min(ts)) + INTERVAL 1 DAY) // 1000 AS ms FROM events GROUP BY user_id HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY < (SELECT max(ts) FROM events)")
+def stream_timers(spark, sf):
+    """One batch tallies each user; once the watermark passes the end of the user's first day, a timer reports the tally."""
+    e = windows.watermarked(replay(spark, sf, "events").select("user_id", "ts"), "ts", "0 seconds")
+    return drain(stateful.with_timers(e, "user_id", "ts", _tally, _report, "1 day"), "update")
+
+
 @query("stream_cep", "WITH a AS (SELECT *, row_number() OVER w - row_number() OVER v AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), v AS (PARTITION BY user_id, event_type = 'click' ORDER BY ts, event_id)), b AS (SELECT user_id, event_id, g, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS k FROM a WHERE event_type = 'click') SELECT CAST(user_id AS VARCHAR) AS key, min(event_id) FILTER (k % 2 = 1) AS start_id, min(event_id) FILTER (k % 2 = 0) AS end_id, CAST(2 AS BIGINT) AS n_events FROM (SELECT *, (k + 1) // 2 AS pair FROM b) GROUP BY user_id, g, pair HAVING count(*) = 2")
 def stream_cep(spark, sf):
     p = cep.Pattern.begin("a", F.col("event_type") == "click").times(2)
@@ -226,6 +289,15 @@ def source_json_lines(spark, sf):
     return json_rows(lines, "event_id bigint, k bigint")
 
 
+@query("source_csv", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, n_regionkey FROM nation")
+def source_csv(spark, sf):
+    from ..sources.files import read_csv
+
+    at = scratch(spark, "nation-csv")
+    table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").write.option("header", True).csv(at)
+    return read_csv(spark, at, "n_nationkey bigint, n_name string, n_regionkey int")
+
+
 @query("source_range", "SELECT CAST(i AS BIGINT) AS id FROM range(10, 100, 7) t(i)")
 def source_range(spark, sf):
     return spark.range(10, 100, 7)

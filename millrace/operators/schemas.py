@@ -15,16 +15,43 @@ def infer(df: DataFrame, column: str) -> StructType:
     return DataType.fromDDL(found.replace("OBJECT<", "STRUCT<")) if found and found.startswith("OBJECT<") else StructType()
 
 
+def _hex(x: Column) -> Column:
+    return F.coalesce(F.unhex(F.concat(F.repeat(F.lit("0"), F.length(x) % 2), x)).isNotNull(), F.lit(False))
+
+
 def text_format(x: Column) -> Column:
-    """date-time, date, email, uuid, uri or null by the look of a text."""
-    forms = (
-        ("date-time", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"),
-        ("date", r"^\d{4}-\d{2}-\d{2}$"),
-        ("email", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"),
-        ("uuid", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"),
-        ("uri", r"^[a-z][a-z0-9+.-]*://"),
-    )
-    return F.coalesce(*(F.when(x.rlike(pattern), name) for name, pattern in forms))
+    """date-time, date, ipv4, ipv6, uuid, email, uri or null: what Spark's own parsers take the text for, or its parts look like."""
+    dots, dashes, colons, at = (F.split(x, sep) for sep in (r"\.", "-", ":", "@"))
+    number = lambda p: F.coalesce(p.try_cast("int").between(0, 255) & (p.try_cast("int").cast("string") == p), F.lit(False))
+    sizes = F.transform(dashes, lambda p: F.length(p))
+    short = lambda p: (F.length(p) <= 4) & _hex(p)
+    gaps = F.size(F.split(x, "::")) - 1
+    tests = {
+        "date-time": x.contains(":") & (F.size(dashes) >= 3) & F.try_to_timestamp(x).isNotNull(),
+        "date": (F.length(x) == 10) & (F.size(dashes) == 3) & x.try_cast("date").isNotNull(),
+        "ipv4": (F.size(dots) == 4) & F.forall(dots, number),
+        "uuid": (sizes == F.array(*map(F.lit, (8, 4, 4, 4, 12)))) & F.forall(dashes, _hex),
+        "ipv6": (F.size(colons) >= 3) & F.forall(colons, short) & (((gaps == 0) & (F.size(colons) == 8)) | ((gaps == 1) & (F.size(colons) <= 8))),
+        "email": (F.size(at) == 2) & (F.length(at[0]) > 0) & at[1].contains(".") & ~x.contains(" ") & ~at[1].startswith(".") & ~at[1].endswith("."),
+        "uri": x.contains("://") & F.try_parse_url(x, F.lit("PROTOCOL")).isNotNull(),
+    }
+    return F.coalesce(*(F.when(test, name) for name, test in tests.items()))
+
+
+def field_statistics(df: DataFrame, column: str) -> DataFrame:
+    """(field, present, nulls, nullable, format) of the top-level fields of a column's JSON objects; a format that all its texts share.
+
+    A field is nullable if some object lacks it or has it null.
+    """
+    objects = df.select(F.from_json(column, "map<string,variant>").alias("m")).where("m is not null")
+    total = objects.agg(F.count(F.lit(1)).alias("total"))
+    fields = objects.select(F.explode("m").alias("field", "v"))
+    text = F.when(F.schema_of_variant("v") == "STRING", F.col("v").cast("string"))
+    each = fields.select("field", F.coalesce(F.is_variant_null("v"), F.lit(True)).alias("null"), F.coalesce(text_format(text), F.when(text.isNotNull(), "")).alias("form"))
+    counted = each.groupBy("field").agg(F.count(F.lit(1)).alias("present"), F.count_if("null").alias("nulls"), F.min("form").alias("lo"), F.max("form").alias("hi"))
+    joined = counted.join(F.broadcast(total))
+    nullable = (F.col("nulls") > 0) | (F.col("present") < F.col("total"))
+    return joined.select("field", "present", "nulls", nullable.alias("nullable"), F.when((F.col("lo") == F.col("hi")) & (F.col("lo") != ""), F.col("lo")).alias("format"))
 
 
 def migrate(df: DataFrame, changes: list[tuple]) -> DataFrame:

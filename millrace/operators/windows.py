@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ranges import greatest_before
@@ -54,6 +54,29 @@ def running_watermark(ts: str, order: list[str], delay_ms: int, keys: list[str]
     return F.max(F.unix_millis(F.col(ts).cast("timestamp"))).over(w) - F.lit(delay_ms) - 1
 
 
+def combined_watermark(df: DataFrame, ts: str, source: str, sources: list, keys: list[str], order: list[str], delay_ms: int, idle_ms: int, name: str, arrived: str | None = None) -> DataFrame:
+    """A replay's watermark over several sources, in ms: the least of their greatest times so far, less the delay and one; it never goes back.
+
+    A source whose last row arrived over ``idle_ms`` before a row is idle there and holds nothing back; ``arrived`` is when a row
+    came, its own time if not given. Sources that have sent nothing yet are idle. On live streams Spark combines watermarks itself:
+    ``watermark_policy``.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    now, alive = ms(arrived or ts), []
+    for s in sources:
+        mine = F.col(source) == F.lit(s)
+        top, last = F.max(F.when(mine, ms(ts))).over(w), F.max(F.when(mine, now)).over(w)
+        alive.append(F.when(last >= now - F.lit(idle_ms), top))
+    least = F.least(*alive) if len(alive) > 1 else alive[0]
+    return df.withColumn("__least", least).withColumn(name, F.max("__least").over(w) - F.lit(delay_ms) - 1).drop("__least")
+
+
+def watermark_policy(spark: SparkSession, policy: str = "min") -> None:
+    """How streams with several watermarks combine them: ``min`` waits for the slowest, ``max`` follows the fastest."""
+    spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", policy)
+
+
 def late_split(df: DataFrame, ts: str, order: list[str], delay: str, keys: list[str] = ()) -> DataFrame:
     """Rows of a replay with ``is_late``: earlier than the greatest time before them less the delay."""
     if not keys:

@@ -100,3 +100,54 @@ class Store:
 
     def delete(self, *keys) -> Store:
         return Store(self.table.where(~F.col(self.key).isin(*keys)), self.key)
+
+
+class WindowStore:
+    """A table of values by key and window start: put, fetch, fetch_all, remove."""
+
+    def __init__(self, table: DataFrame, key: str = "key", start: str = "window_start"):
+        self.table, self.key, self.start = table, key, start
+
+    def put(self, rows: DataFrame) -> WindowStore:
+        """The store after puts: a row takes the place of the one of its key and window."""
+        kept = self.table.join(rows.select(self.key, self.start), [self.key, self.start], "left_anti")
+        return WindowStore(kept.unionByName(rows), self.key, self.start)
+
+    def fetch(self, key, since=None, until=None) -> DataFrame:
+        """A key's windows that start in [since, until], in order."""
+        return self.fetch_all(since, until).where(F.col(self.key) == F.lit(key)).orderBy(self.start)
+
+    def fetch_all(self, since=None, until=None) -> DataFrame:
+        out = self.table if since is None else self.table.where(F.col(self.start) >= F.lit(since))
+        return out if until is None else out.where(F.col(self.start) <= F.lit(until))
+
+    def expired(self, retention: str) -> WindowStore:
+        """The store without windows that start longer than ``retention`` before the latest one."""
+        top = self.table.agg(F.max(self.start).alias("__top"))
+        kept = self.table.join(F.broadcast(top), F.col(self.start) >= F.col("__top") - F.expr(f"interval {retention}")).drop("__top")
+        return WindowStore(kept, self.key, self.start)
+
+
+class SessionStore:
+    """A table of sessions by key, start and end: put, find_sessions, fetch, remove."""
+
+    def __init__(self, table: DataFrame, key: str = "key", start: str = "window_start", end: str = "window_end"):
+        self.table, self.key, self.start, self.end = table, key, start, end
+
+    def _with(self, table: DataFrame) -> SessionStore:
+        return SessionStore(table, self.key, self.start, self.end)
+
+    def put(self, rows: DataFrame) -> SessionStore:
+        return self._with(self.remove(rows).table.unionByName(rows))
+
+    def remove(self, sessions: DataFrame) -> SessionStore:
+        """The store without the sessions of these keys, starts and ends."""
+        names = [self.key, self.start, self.end]
+        return self._with(self.table.join(sessions.select(*names), names, "left_anti"))
+
+    def find_sessions(self, key, earliest_end, latest_start) -> DataFrame:
+        """A key's sessions that end at ``earliest_end`` or later and start at ``latest_start`` or before: those that a row between may join."""
+        return self.fetch(key).where((F.col(self.end) >= F.lit(earliest_end)) & (F.col(self.start) <= F.lit(latest_start)))
+
+    def fetch(self, key) -> DataFrame:
+        return self.table.where(F.col(self.key) == F.lit(key)).orderBy(self.start)

@@ -16,6 +16,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | None = None) -
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, low=None, high=None, partitions: int = 8, **options: str) -> DataFrame:
+    """A table of a database; with ``column`` and its range it is read in that many partitions at once."""
+    read = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if column is not None:
+        read = read.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(partitions))
+    return read.load()
+
+
 def json_rows(df: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """JSON texts of a column as typed rows; texts that don't parse are dropped."""
     return df.select(F.from_json(column, schema).alias("r")).where("r is not null").select("r.*")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.ranges import seconds
+
 
 class Latest(StatefulProcessor):
     """A changelog's table: each key's row of the greatest order; emits the old and the new row, so sums can retract."""
@@ -53,6 +55,56 @@ class Transform(StatefulProcessor):
         pass
 
 
+class Timed(StatefulProcessor):
+    """``step`` for each row of a key, and ``tick`` whenever time passes a multiple of an interval; either returns (state, outputs)."""
+
+    def __init__(self, step: Callable[[str | None, Row], tuple[str | None, list[str]]], tick: Callable[[str | None, int], tuple[str | None, list[str]]], every_ms: int, event_time: bool):
+        self.step, self.tick, self.every, self.event_time = step, tick, every_ms, event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", "value string")
+
+    def _now(self, timerValues) -> int:  # noqa: N803
+        return timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+
+    def _store(self, state: str | None) -> None:
+        if state is None:
+            self.state.clear()
+        else:
+            self.state.update((state,))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        state = self.state.get()[0] if self.state.exists() else None
+        first = None
+        for r in sorted(rows, key=lambda r: r.ms):
+            first = r.ms if first is None else first
+            state, out = self.step(state, r)
+            yield from (Row(key=key[0], ms=r.ms, output=x) for x in out)
+        self._store(state)
+        if first is not None and not list(self.handle.listTimers()):
+            base = max(first, self._now(timerValues)) if self.event_time else self._now(timerValues)
+            self.handle.registerTimer((base // self.every + 1) * self.every)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        state, out = self.tick(self.state.get()[0] if self.state.exists() else None, at)
+        self._store(state)
+        yield from (Row(key=key[0], ms=at, output=x) for x in out)
+        if state is not None:
+            self.handle.registerTimer(at + self.every)
+
+    def close(self) -> None:
+        pass
+
+
+def with_timers(stream: DataFrame, key: str, ts: str, step: Callable, tick: Callable, every: str, event_time: bool = True) -> DataFrame:
+    """(key, ms, output) of a processor with punctuations: ``tick(state, ms)`` runs for each key at every multiple of an interval that the
+    watermark (or the clock, if not ``event_time``) passes, until it returns no state. ``ts`` needs a watermark for event time."""
+    rows = stream.withColumns({"key": F.col(key).cast("string"), "ms": F.unix_millis(F.col(ts).cast("timestamp"))})
+    processor = Timed(step, tick, 1000 * seconds(every), event_time)
+    return rows.groupBy("key").transformWithState(statefulProcessor=processor, outputStructType="key string, ms bigint, output string", outputMode="Update", timeMode="EventTime" if event_time else "ProcessingTime")
+
+
 def latest_changes(stream: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """(key, old, new) for each change of a key's latest value."""
     rows = stream.selectExpr(f"cast({key} as string) as key", f"cast({value} as string) as value", f"cast({order} as bigint) as ord")

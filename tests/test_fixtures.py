@@ -184,8 +184,11 @@ def test_schemas(spark):
     assert schemas.compatible(StructType.fromDDL("a int not null, d int not null"), [old], "full_transitive")
     found = schemas.infer(spark.createDataFrame([('{"a":1,"b":"x"}',), ('{"a":2.5,"c":[1]}',)], "j string"), "j")
     assert {f.name for f in found.fields} == {"a", "b", "c"}
-    kinds = spark.createDataFrame([("2024-01-01",), ("a@b.de",), ("x",)], "v string").select(schemas.text_format(F.col("v")).alias("f"))
-    assert [r.f for r in kinds.collect()] == ["date", "email", None]
+    forms = {"2024-01-01": "date", "2024-13-01": None, "2024-01-01T10:00:00Z": "date-time", "a@b.de": "email", "a@b": None, "x": None, "": None, "10.0.0.255": "ipv4", "10.0.0.256": None, "1.2.3": None, "::1": "ipv6", "fe80::1:2": "ipv6", "1:2:3:4:5:6:7:8": "ipv6", "1:2:3": None, "12:30:00": None, "https://a.b/c": "uri", "6d696c6c-7261-6365-0000-000000000001": "uuid", "6d696c6c-7261-6365-0000-00000000000g": None}
+    kinds = spark.createDataFrame([(v,) for v in forms], "v string").select("v", schemas.text_format(F.col("v")).alias("f"))
+    assert {r.v: r.f for r in kinds.collect()} == forms
+    stats = schemas.field_statistics(spark.createDataFrame([('{"a":1,"d":"2024-01-01"}',), ('{"a":null,"d":"2024-02-01","e":"x"}',), ("bad",)], "j string"), "j")
+    assert rows(stats) == [("a", 2, 1, True, None), ("d", 2, 0, False, "date"), ("e", 1, 0, True, None)]
 
 
 def test_dialect(spark):
@@ -411,3 +414,36 @@ def test_a_batch_that_is_tried_again_counts_once(spark, tmp_path, monkeypatch):
     assert run.drain(stream).count() == 5 and len(wrote) == 2
     monkeypatch.undo()
     assert run.drain(stream.where("id < 0")).count() == 0
+
+
+def test_window_and_session_stores(spark):
+    from millrace.plans.query import SessionStore, WindowStore
+
+    at = lambda m: BASE + dt.timedelta(minutes=m)
+    w = WindowStore(spark.createDataFrame([("a", at(0), 1), ("a", at(5), 2), ("b", at(5), 3)], "key string, window_start timestamp_ntz, n int"))
+    w = w.put(spark.createDataFrame([("a", at(5), 9), ("a", at(10), 4)], "key string, window_start timestamp_ntz, n int"))
+    assert [r.n for r in w.fetch("a", at(1), at(10)).collect()] == [9, 4] and w.fetch_all().count() == 4
+    assert w.expired("5 minutes").fetch_all().count() == 3
+    kind = "key string, window_start timestamp_ntz, window_end timestamp_ntz, n int"
+    s = SessionStore(spark.createDataFrame([("a", at(0), at(5), 1), ("a", at(20), at(25), 2), ("b", at(0), at(30), 3)], kind))
+    assert [r.n for r in s.find_sessions("a", at(5), at(19)).collect()] == [1]
+    s = s.put(spark.createDataFrame([("a", at(0), at(5), 7)], kind)).remove(spark.createDataFrame([("a", at(20), at(25))], "key string, window_start timestamp_ntz, window_end timestamp_ntz"))
+    assert [r.n for r in s.fetch("a").collect()] == [7]
+
+
+def test_watermark_of_sources_of_which_one_falls_idle(spark):
+    log = [(0, "x", 10), (1, "y", 5), (2, "x", 20), (3, "x", 100), (4, "y", 50), (5, "x", 101)]
+    e = spark.createDataFrame(log, "i int, s string, sec int").withColumn("ts", F.timestamp_seconds("sec")).withColumn("at", F.timestamp_seconds(F.col("i") * 10))
+    find = lambda idle: [r.w for r in windows.combined_watermark(e, "ts", "s", ["x", "y"], [], ["i"], 0, idle, "w", "at").orderBy("i").collect()]
+    assert find(1_000_000) == [9_999, 9_999, 9_999, 9_999, 49_999, 49_999]
+    assert find(15_000) == [9_999, 9_999, 9_999, 99_999, 99_999, 99_999]
+
+
+def test_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    try:
+        spark.range(10).withColumnRenamed("id", "N").write.option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").jdbc(url, "T")
+    except Exception as e:  # noqa: BLE001
+        pytest.skip(f"no database driver: {str(e)[:80]}")
+    read = files.read_jdbc(spark, url, "T", "N", 0, 10, 3, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert read.count() == 10 and read.rdd.getNumPartitions() == 3
