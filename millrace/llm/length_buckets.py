@@ -60,8 +60,8 @@ def word_count(text: Column) -> Column:
     return (F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("bigint")
 
 
-def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budget: int = 65_536) -> DataFrame:
-    """(doc_id, n_tokens, bucket, pad_to, batch, slot, padding) for each row of ``docs``; other columns are ignored.
+def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budget: int = 65_536, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, bucket, pad_to, batch, slot, padding) for each row of ``docs``, with the columns named in ``carry``; others are ignored.
 
     ``length`` (words of ``text`` and an end if not given) is at least 1; null counts as 1. Every row is packed once: repeated rows get
     slots of their own, a sequence longer than the budget fills a batch alone, an empty table gives no rows. Batches are numbered within
@@ -70,7 +70,7 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
     """
     spark = docs.sparkSession
     length = word_count(F.col("text")) if length is None else length
-    whole = docs.select("doc_id", F.greatest(F.coalesce(length.cast("bigint"), F.lit(1)), F.lit(1)).alias("n_tokens"))
+    whole = docs.select("doc_id", *carry, F.greatest(F.coalesce(length.cast("bigint"), F.lit(1)), F.lit(1)).alias("n_tokens"))
     sized = staged(whole.withColumn("row", F.monotonically_increasing_id()), "pack-lengths")
     histogram = sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").collect()
     lengths, each = (np.array([r[c] for r in histogram], np.int64) for c in ("n_tokens", "n"))
@@ -88,5 +88,18 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
     per = F.greatest(F.lit(1), F.floor(F.lit(budget) / pad)).cast("bigint")
     at = F.col("k") + F.col("offset")
     return numbered.select(
-        "doc_id", "n_tokens", "bucket", pad.alias("pad_to"), F.floor(at / per).cast("bigint").alias("batch"), (at % per).cast("bigint").alias("slot"), (pad - F.col("n_tokens")).alias("padding")
+        "doc_id", "n_tokens", "bucket", pad.alias("pad_to"), F.floor(at / per).cast("bigint").alias("batch"), (at % per).cast("bigint").alias("slot"), (pad - F.col("n_tokens")).alias("padding"), *carry
     )
+
+
+def fill_batches(docs: DataFrame, ids: str = "token_ids", pad: int = 0, buckets: int = 16, budget: int = 65_536) -> DataFrame:
+    """(bucket, batch, pad_to, doc_ids, sizes, tokens): the batches of ``docs`` (doc_id, ids) as rows of token ids, each padded to its bucket's bound.
+
+    A sequence without ids counts as one padding token. A batch holds ``budget`` ids at most, or one longer sequence.
+    """
+    rows = docs.select("doc_id", F.coalesce(ids, F.array().cast(docs.schema[ids].dataType)).alias("__ids"))
+    packed = pack(rows, F.size("__ids"), buckets, budget, ("__ids",))
+    filled = F.concat("__ids", F.array_repeat(F.lit(pad).cast("int"), (F.col("pad_to") - F.size("__ids")).cast("int")))
+    row = F.struct("slot", "doc_id", F.size("__ids").alias("size"), filled.alias("tokens"))
+    grouped = packed.groupBy("bucket", "batch", "pad_to").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return grouped.select("bucket", "batch", "pad_to", F.col("rows.doc_id").alias("doc_ids"), F.col("rows.size").alias("sizes"), F.col("rows.tokens").alias("tokens"))

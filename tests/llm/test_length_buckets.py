@@ -63,3 +63,16 @@ def test_the_blocks_of_rows_do_not_change_the_batches(spark, monkeypatch):
     docs = spark.createDataFrame([(None if i % 3 else 1, 10) for i in range(500)], "doc_id long, n long")
     out = length_buckets.pack(docs, F.col("n"), budget=100).collect()
     assert sorted((r.batch, r.slot) for r in out) == [(b, s) for b in range(50) for s in range(10)]
+
+
+def test_batches_hold_the_token_ids(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.randrange(1, 50_000) for _ in range(rng.randrange(0, 90))]) for i in range(150)] + [(500, None), (7, [1, 2]), (7, [3])]
+    docs = spark.createDataFrame(rows, "doc_id long, token_ids array<int>")
+    out = length_buckets.fill_batches(docs, pad=-1, buckets=4, budget=300).collect()
+    back = []
+    for r in out:
+        assert all(len(t) == r.pad_to for t in r.tokens) and (len(r.tokens) == 1 or len(r.tokens) * r.pad_to <= 300)
+        assert all(set(t[n:]) <= {-1} for t, n in zip(r.tokens, r.sizes))
+        back += [(i, tuple(t[:n])) for i, t, n in zip(r.doc_ids, r.tokens, r.sizes)]
+    assert sorted(back) == sorted((i, tuple(t or ())) for i, t in rows)
