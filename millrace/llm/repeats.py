@@ -14,11 +14,17 @@ corpus order to that depth, and what is repeated has a neighbour there with ``sp
    suffix has its rank or if the parse has its phrase twice.
 3. Repeated windows are laid back through the parse onto the documents, whose remaining bytes are kept.
 
+What occurs twice in one block of documents is known to be repeated there: the block sends it once, without its occurrences, so a passage
+that a third of all documents hold is an entry for each block. Phrases of a trigger that occurs more than ``HOT`` times are cut in
+two, windows that hold the 84 bytes before the trigger and windows that hold the 84 bytes behind its end, and meet by these bytes too.
+
 Hashes only choose triggers and shards; what is equal is decided on bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +39,10 @@ PLACE = np.uint64((1 << 24) - 1)
 PIECE, BLOCK = 1_000_000, 2_000_000
 #: Bytes of text whose triggers meet in one shard.
 SHARD_BYTES = 32_000_000
+#: Occurrences beyond which the phrases of a trigger are dealt by their bytes beside it.
+HOT = 20_000
+#: Kinds of rows: what a block holds once, what it holds more than once, and where it holds that.
+ONCE, MANY, PLACES = 0, 1, 2
 
 
 def _sums(raw: np.ndarray) -> np.ndarray:
@@ -47,7 +57,7 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Phrases:
-    """The phrases of some texts: row, place in the text, number of windows, and trigger."""
+    """The phrases of some texts: row, place in the text, number of windows, trigger, and the trigger's place in the text."""
 
     def __init__(self, texts: list[bytes], span: int):
         self.span, self.texts = span, texts
@@ -63,8 +73,8 @@ class Phrases:
                     batch, held = [], 0
         if batch:
             out.append(self._parse(batch))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64)]
-        self.row, self.start, self.windows, self.trigger = columns
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64)]
+        self.row, self.start, self.windows, self.trigger, self.anchor = columns
         counts = np.bincount(self.row, minlength=len(texts))
         self.ordinal = np.arange(len(self.row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
@@ -91,7 +101,7 @@ class Phrases:
         count = np.diff(np.concatenate([first, [len(at)]]))
         begin, piece = at[first], piece[first]
         rows, places = np.array([x[0] for x in batch]), np.array([x[1] for x in batch])
-        return [rows[piece], places[piece] + begin - begins[piece], count, grams[anchor[first]]]
+        return [rows[piece], places[piece] + begin - begins[piece], count, grams[anchor[first]], places[piece] + anchor[first] - begins[piece]]
 
 
 def _small(x: np.ndarray, n: int) -> bytes:
@@ -107,26 +117,45 @@ def _emit(rows: list[tuple], names: list[str], kinds: list[pa.DataType], at_once
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + at_once], strict=True), kinds, strict=True)], names=names)
 
 
+TRIGGERS = "shard int, kind int, ids binary, local binary, ordinal binary, trigger binary"
+
+
 def _send_triggers(shards: int, span: int):
     def run(batches):
         for batch in batches:
             for a, b in blocks(batch.column(1), BLOCK):
                 ids = batch.column(0).slice(a, b - a).to_numpy()
                 p = Phrases([x or b"" for x in batch.column(1).slice(a, b - a).to_pylist()], span)
-                shard = (p.trigger >> np.uint64(33)).astype(np.int64) % shards
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                known, at, count = np.unique(p.trigger, return_inverse=True, return_counts=True)
                 out = []
-                for s in range(shards):
-                    some = order[cuts[s] : cuts[s + 1]]
-                    if len(some):
-                        used, local = np.unique(p.row[some], return_inverse=True)
-                        out.append((s, ids[used].tobytes(), _small(local, len(used)), p.ordinal[some].astype(np.uint32).tobytes(), p.trigger[some].tobytes()))
-                yield from _emit(out, ["shard", "ids", "local", "ordinal", "trigger"], [pa.int32(), *[pa.binary()] * 4])
+
+                def places(kind, shard, some):
+                    used, local = np.unique(p.row[some], return_inverse=True)
+                    trigger = p.trigger[some].tobytes() if kind == ONCE else None
+                    out.append((shard, kind, ids[used].tobytes(), _small(local, len(used)), p.ordinal[some].astype(np.uint32).tobytes(), trigger))
+
+                once = np.flatnonzero(count[at] == 1)
+                for s, some in _dealt(p.trigger[once], shards):
+                    places(ONCE, s, once[some])
+                many = np.flatnonzero(count > 1)
+                for s, some in _dealt(known[many], shards):
+                    out.append((s, MANY, None, None, count[many[some]].astype(np.uint32).tobytes(), known[many[some]].tobytes()))
+                if len(again := np.flatnonzero(count[at] > 1)):
+                    places(PLACES, int(ids[0] % shards), again)
+                yield from _emit(out, [c.split()[0] for c in TRIGGERS.split(", ")], [pa.int32(), pa.int32(), *[pa.binary()] * 4])
 
     return run
 
 
+def _dealt(keys: np.ndarray, shards: int):
+    """(shard, places of its keys) of every shard that gets some."""
+    shard = (keys >> np.uint64(33)).astype(np.int64) % shards
+    order = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        yield s, order[cuts[s] : cuts[s + 1]]
+
+
 def _by_id(ids: np.ndarray, data: np.ndarray, width_: int) -> pa.Table:
     """(uid, data) rows: for each id the bytes of its data, ``width_`` numbers an entry."""
     order = np.argsort(ids, kind="stable")
@@ -138,16 +167,56 @@ def _by_id(ids: np.ndarray, data: np.ndarray, width_: int) -> pa.Table:
     return pa.table([pa.array(ids[first], pa.int64()), pa.array([raw[a * step : b * step] for a, b in zip(first.tolist(), ends, strict=True)] if len(first) else [], pa.binary())], names=["uid", "data"])
 
 
-def _repeated_triggers(table: pa.Table) -> pa.Table:
-    ids, ordinals, triggers = [], [], []
-    for _, i, local, ordinal, trigger in zip(*(c.to_pylist() for c in table.columns), strict=True):
-        ordinals.append(np.frombuffer(ordinal, np.uint32))
-        triggers.append(np.frombuffer(trigger, np.uint64))
-        ids.append(np.frombuffer(i, np.int64)[_from_small(local, len(ordinals[-1]))])
-    ids, ordinals, triggers = np.concatenate(ids), np.concatenate(ordinals), np.concatenate(triggers)
-    _, at, count = np.unique(triggers, return_inverse=True, return_counts=True)
-    many = count[at] > 1
-    return _by_id(ids[many], ordinals[many], 1)
+def _repeated_triggers(hot: int):
+    """One shard: (uid, ordinals of its phrases whose trigger occurs elsewhere too), and the triggers that occur more than ``hot`` times."""
+
+    def run(table: pa.Table) -> pa.Table:
+        none = [np.zeros(0, t) for t in (np.int64, np.uint32, np.uint64, np.int64)]
+        ids, ordinals, triggers, weight, known, placed = ([x] for x in (none[0], none[1], none[2], none[3], none[0], none[1]))
+        for _, kind, i, local, ordinal, trigger in zip(*(c.to_pylist() for c in table.columns), strict=True):
+            numbers = np.frombuffer(ordinal, np.uint32)
+            whose = np.frombuffer(i, np.int64)[_from_small(local, len(numbers))] if i is not None else np.full(len(numbers), -1)
+            if kind == PLACES:
+                known.append(whose)
+                placed.append(numbers)
+                continue
+            ids.append(whose)
+            ordinals.append(numbers)
+            triggers.append(np.frombuffer(trigger, np.uint64))
+            weight.append(numbers.astype(np.int64) if kind == MANY else np.full(len(numbers), -1))
+        ids, ordinals, triggers, weight, known, placed = (np.concatenate(x) for x in (ids, ordinals, triggers, weight, known, placed))
+        names, at = np.unique(triggers, return_inverse=True)
+        count = np.bincount(at, np.abs(weight), len(names)).astype(np.int64)
+        wanted = (count[at] > 1) & (weight < 0)
+        out = _by_id(np.concatenate([ids[wanted], known]), np.concatenate([ordinals[wanted], placed]), 1)
+        often = names[count > hot]
+        top = pa.table([pa.nulls(1, pa.int64()), pa.array([often.tobytes()], pa.binary())], names=["uid", "data"])
+        return pa.concat_tables([out, top]) if len(often) else out
+
+    return run
+
+
+PHRASES = "shard int, kind int, key binary, windows binary, text binary, ids binary, local binary, start binary"
+
+
+def _halves(p: Phrases, some: np.ndarray, hot: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """(row, start, windows, key) of the phrases to send: those of hot triggers in two parts, each keyed by the bytes beside the trigger."""
+    row, start, windows, key = p.row[some], p.start[some], p.windows[some], p.trigger[some].copy()
+    at = np.flatnonzero(np.isin(key, hot)) if len(hot) else np.zeros(0, np.int64)
+    if not len(at):
+        return row, start, windows, key
+    half, anchor = (span - GRAM) // 2, p.anchor[some][at]
+    first = np.clip(anchor - half - start[at] + 1, 0, windows[at])  # windows that hold the bytes before the trigger
+    beside = [(p.texts[r][x - half : x + GRAM], p.texts[r][x : x + span - half]) for r, x in zip(row[at].tolist(), anchor.tolist(), strict=True)]
+    name = lambda side, part: int.from_bytes(hashlib.blake2b(side + part, digest_size=8).digest(), "little")
+    left = np.array([name(b"<", x) for x, _ in beside], np.uint64)
+    right = np.array([name(b">", x) for _, x in beside], np.uint64)
+    cold = np.setdiff1d(np.arange(len(some)), at, assume_unique=True)
+    row = np.concatenate([row[cold], row[at], row[at]])
+    start, windows = np.concatenate([start[cold], start[at], start[at] + first]), np.concatenate([windows[cold], first, windows[at] - first])
+    key = np.concatenate([key[cold], left, right])
+    held = windows > 0
+    return row[held], start[held], windows[held], key[held]
 
 
 def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +226,7 @@ def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return which, np.unique(which, return_index=True)[1]
 
 
-def _send_phrases(shards: int, span: int):
+def _send_phrases(shards: int, span: int, hot: np.ndarray):
     """Distinct phrases of each block, and where they occur."""
 
     def run(batches):
@@ -173,26 +242,24 @@ def _send_phrases(shards: int, span: int):
                 for k, w in enumerate(wanted):
                     if w:
                         use[base[k] + np.frombuffer(b"".join(w), np.uint32).astype(np.int64)] = True
-                some = np.flatnonzero(use)
-                phrases = [texts[r][x : x + n + span - 1] for r, x, n in zip(p.row[some].tolist(), p.start[some].tolist(), p.windows[some].tolist(), strict=True)]
+                row, start, windows, key = _halves(p, np.flatnonzero(use), hot, span)
+                phrases = [texts[r][x : x + n + span - 1] for r, x, n in zip(row.tolist(), start.tolist(), windows.tolist(), strict=True)]
                 at, first = _distinct(phrases)
-                lead = some[first]
-                shard = (p.trigger[lead] >> np.uint64(33)).astype(np.int64) % shards
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                of_phrase = np.argsort(at, kind="stable")
-                upto = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(lead)))])
+                count = np.bincount(at, minlength=len(first))
                 out = []
-                for s in range(shards):
-                    mine = order[cuts[s] : cuts[s + 1]]
-                    if not len(mine):
-                        continue
-                    many = upto[mine + 1] - upto[mine]
-                    occur = some[of_phrase[_ranges(upto[mine], many)]]
-                    used, local = np.unique(p.row[occur], return_inverse=True)
-                    text = b"".join([phrases[k] for k in first[mine]])
-                    out.append((s, p.trigger[lead[mine]].tobytes(), p.windows[lead[mine]].astype(np.uint16).tobytes(), text, many.astype(np.uint32).tobytes(), ids[used].tobytes(), _small(local, len(used)), p.start[occur].astype(np.uint32).tobytes()))
-                yield from _emit(out, ["shard", "trigger", "windows", "text", "many", "ids", "local", "start"], [pa.int32(), *[pa.binary()] * 7])
+
+                def places(some):
+                    used, local = np.unique(row[some], return_inverse=True)
+                    return ids[used].tobytes(), _small(local, len(used)), start[some].astype(np.uint32).tobytes()
+
+                for kind, mine in ((ONCE, first[count == 1]), (MANY, first[count > 1])):
+                    for s, some in _dealt(key[mine], shards):
+                        some = mine[some]
+                        where = places(some) if kind == ONCE else (None, None, None)
+                        out.append((s, kind, key[some].tobytes(), windows[some].astype(np.uint16).tobytes(), b"".join([phrases[k] for k in some.tolist()]), *where))
+                if len(again := np.flatnonzero(count[at] > 1)):
+                    out.append((int(ids[0] % shards), PLACES, None, windows[again].astype(np.uint16).tobytes(), None, *places(again)))
+                yield from _emit(out, [c.split()[0] for c in PHRASES.split(", ")], [pa.int32(), pa.int32(), *[pa.binary()] * 6])
 
     return run
 
@@ -228,25 +295,37 @@ def _met_again(texts: list[bytes], windows: np.ndarray, trigger: np.ndarray, spa
 
 def _repeated_windows(span: int):
     def run(table: pa.Table) -> pa.Table:
-        trigger, windows, texts, many, ids, starts = [], [], [], [], [], []
-        for _, t, n, text, m, i, local, start in zip(*(c.to_pylist() for c in table.columns), strict=True):
-            trigger.append(np.frombuffer(t, np.uint64))
-            windows.append(np.frombuffer(n, np.uint16).astype(np.int64))
-            ends = np.cumsum(windows[-1] + span - 1)
-            texts += [text[b - s : b] for b, s in zip(ends.tolist(), (windows[-1] + span - 1).tolist(), strict=True)]
-            many.append(np.frombuffer(m, np.uint32).astype(np.int64))
-            starts.append(np.frombuffer(start, np.uint32).astype(np.int64))
-            ids.append(np.frombuffer(i, np.int64)[_from_small(local, len(starts[-1]))])
-        trigger, windows, many, ids, starts = (np.concatenate(x) for x in (trigger, windows, many, ids, starts))
+        none = [np.zeros(0, t) for t in (np.uint64, np.int64)]
+        key, windows, texts, kinds, ids, starts, which = [none[0]], [none[1]], [], [none[1]], [none[1]], [none[1]], [none[1]]
+        known, spans = [none[1]], [np.zeros((0, 2), np.int64)]
+        for _, kind, t, n, text, i, local, start in zip(*(c.to_pylist() for c in table.columns), strict=True):
+            n = np.frombuffer(n, np.uint16).astype(np.int64)
+            if i is not None:
+                begin = np.frombuffer(start, np.uint32).astype(np.int64)
+                whose = np.frombuffer(i, np.int64)[_from_small(local, len(begin))]
+            if kind == PLACES:
+                known.append(whose)
+                spans.append(np.stack([begin, begin + n + span - 1], 1))
+                continue
+            if kind == ONCE:
+                ids.append(whose)
+                starts.append(begin)
+                which.append(len(texts) + np.arange(len(n)))
+            key.append(np.frombuffer(t, np.uint64))
+            windows.append(n)
+            kinds.append(np.full(len(n), kind))
+            ends = np.cumsum(n + span - 1)
+            texts += [text[b - s : b] for b, s in zip(ends.tolist(), (n + span - 1).tolist(), strict=True)]
+        key, windows, kinds, ids, starts, which = (np.concatenate(x) for x in (key, windows, kinds, ids, starts, which))
         phrase, first = _distinct(texts)
-        by_trigger = np.argsort(trigger[first], kind="stable")
+        by_key = np.argsort(key[first], kind="stable")
         place = np.empty(len(first), np.int64)
-        place[by_trigger] = np.arange(len(first))
-        phrase, first = place[phrase], first[by_trigger]
-        uses = np.bincount(phrase, many, len(first)).astype(np.int64)
-        occur = np.repeat(phrase, many)  # the parse: the phrase of each occurrence
-        of_trigger, trigger_at, sharing = np.unique(trigger[first], return_inverse=True, return_counts=True)
-        meets = np.flatnonzero(sharing[trigger_at] > 1)
+        place[by_key] = np.arange(len(first))
+        phrase, first = place[phrase], first[by_key]
+        uses = np.bincount(phrase, 1 + (kinds == MANY), len(first)).astype(np.int64)
+        occur = phrase[which]  # the parse: the phrase of each occurrence
+        _, key_at, sharing = np.unique(key[first], return_inverse=True, return_counts=True)
+        meets = np.flatnonzero(sharing[key_at] > 1)
         span_from, span_to, span_of = [], [], []
         whole_ones = np.flatnonzero(uses > 1)
         span_of.append(whole_ones)
@@ -254,7 +333,7 @@ def _repeated_windows(span: int):
         span_to.append(windows[first[whole_ones]] + span - 1)
         if len(meets):
             n = windows[first[meets]]
-            hit = _met_again([texts[k] for k in first[meets]], n, trigger[first[meets]], span)
+            hit = _met_again([texts[k] for k in first[meets]], n, key[first[meets]], span)
             hit &= np.repeat(uses[meets] == 1, n)
             owner, place = np.repeat(np.arange(len(meets)), n), _ranges(np.zeros(len(n), np.int64), n)
             at = np.flatnonzero(hit)
@@ -271,7 +350,8 @@ def _repeated_windows(span: int):
         base = np.cumsum(count) - count
         pick = _ranges(base[occur], count[occur])
         each = np.repeat(np.arange(len(occur)), count[occur])
-        return _by_id(ids[each], np.stack([starts[each] + span_from[pick], starts[each] + span_to[pick]], 1), 2)
+        found = np.stack([starts[each] + span_from[pick], starts[each] + span_to[pick]], 1)
+        return _by_id(np.concatenate([ids[each], *known]), np.concatenate([found, *spans]), 2)
 
     return run
 
@@ -316,18 +396,19 @@ def _cut(names: list[str], whole_characters: bool):
     return run
 
 
-def _wanted(lines: DataFrame, shards: int, span: int) -> DataFrame:
-    """(uid, wanted): for each text the ordinals of its phrases whose trigger occurs elsewhere too."""
-    sent = lines.select("__uid", "__bytes").mapInArrow(_send_triggers(shards, span), "shard int, ids binary, local binary, ordinal binary, trigger binary")
-    found = sent.groupBy("shard").applyInArrow(_repeated_triggers, "uid bigint, data binary")
-    return staged(found.groupBy("uid").agg(F.collect_list("data").alias("wanted")), "repeats-wanted")
+def _wanted(lines: DataFrame, shards: int, span: int) -> tuple[DataFrame, np.ndarray]:
+    """(uid, wanted): for each text the ordinals of its phrases whose trigger occurs elsewhere too; and the hot triggers."""
+    sent = lines.select("__uid", "__bytes").mapInArrow(_send_triggers(shards, span), TRIGGERS)
+    found = staged(sent.groupBy("shard").applyInArrow(_repeated_triggers(HOT), "uid bigint, data binary"), "repeats-triggers")
+    hot = [np.frombuffer(r["data"], np.uint64) for r in found.where("uid is null").select("data").collect()]  # one in HOT occurrences at most
+    return found.where("uid is not null").groupBy("uid").agg(F.collect_list("data").alias("wanted")), np.concatenate([np.zeros(0, np.uint64), *hot])
 
 
-def _spans(lines: DataFrame, wanted: DataFrame, shards: int, span: int) -> DataFrame:
+def _spans(lines: DataFrame, wanted: DataFrame, hot: np.ndarray, shards: int, span: int) -> DataFrame:
     """(__uid, __spans): for each text its repeated byte ranges, packed."""
     release(lines.sparkSession)
     asked = lines.join(wanted.withColumnRenamed("uid", "__uid"), "__uid").select("__uid", "__bytes", "wanted")
-    phrases = asked.mapInArrow(_send_phrases(shards, span), "shard int, trigger binary, windows binary, text binary, many binary, ids binary, local binary, start binary")
+    phrases = asked.mapInArrow(_send_phrases(shards, span, hot), PHRASES)
     met = phrases.groupBy("shard").applyInArrow(_repeated_windows(span), "uid bigint, data binary")
     return staged(met.groupBy(F.col("uid").alias("__uid")).agg(F.collect_list("data").alias("__spans")), "repeats-spans")
 
@@ -355,7 +436,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", span: int = 200, whole_c
     copies = staged(equal.where("n > 1").select(*same, "lead"), "repeats-copies")
     shards = max(2 * width(spark), (equal.agg(F.sum(F.col("__size").cast("bigint"))).first()[0] or 0) // SHARD_BYTES)
     single = sized.join(hinted(copies, 2_000_000), same, "left").where("lead is null or lead = __uid").select("__uid", "__bytes")
-    spans = _spans(single, _wanted(single, shards, span), shards, span)
+    spans = _spans(single, *_wanted(single, shards, span), shards, span)
     release(spark)
     marked = rows.withColumn("__size", F.octet_length("__bytes")).join(hinted(copies.select(*same, F.lit(True).alias("__copied")), 2_000_000), same, "left").join(spans, "__uid", "left")
     marked = marked.withColumn("__copied", F.coalesce("__copied", F.lit(False)))

@@ -102,7 +102,7 @@ def test_equal_hashes_of_unequal_bytes_remove_nothing(spark, monkeypatch):
 
     def parse(self, batch):
         out = plain(self, batch)
-        return [*out[:3], np.zeros_like(out[3])]
+        return [*out[:3], np.zeros_like(out[3]), out[4]]
 
     monkeypatch.setattr(repeats.Phrases, "_parse", parse)
     rows = [(i, t) for i, t in enumerate(texts)]
@@ -121,3 +121,18 @@ def test_whole_characters_go(spark):
     table = spark.createDataFrame([(1, "é" + shared + "é a\ufffdb"), (2, "ê" + shared + "ê b"), (3, "x" + shared)], "doc_id long, text string")
     out = {r.doc_id: bytes(r.kept).decode() for r in repeats.remove_repeats(table, whole_characters=True).collect()}
     assert out == {1: "é a\ufffdb", 2: "ê b", 3: "x"}
+
+
+@pytest.mark.parametrize("block", [300, 2_000_000])
+def test_hot_triggers_are_cut_in_two_and_lose_nothing(spark, monkeypatch, block):
+    """A common line with ever other text around it, a common passage, and blocks of one text or of all."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    line, passage, head, tail = noise(60), noise(260), noise(90), noise(90)
+    texts = [noise(rng.randrange(50, 300)) + line + noise(rng.randrange(50, 300)) for _ in range(20)]
+    texts += [noise(40) + head + line + noise(120) for _ in range(4)] + [noise(120) + line + tail + noise(40) for _ in range(4)]
+    texts += [head * 2 + line + tail, noise(9) + head * 2 + line + noise(60), noise(70) + line + tail * 2, noise(3) + line + tail * 2 + noise(4)]
+    texts += [noise(30) + passage + noise(30) for _ in range(12)] + [passage + noise(20) + passage]
+    check(spark, texts, 200)
