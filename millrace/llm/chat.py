@@ -53,7 +53,7 @@ def format_chats(turns: DataFrame, train_roles: tuple[str, ...] = ("assistant",)
 
     ``turns`` has conv_id, turn, role, text; other columns are ignored. Rows are ordered by turn (null first), ties by role and
     text, and repeated rows stay. A null text or role counts as empty; a null conv_id is a conversation of its own. An empty table
-    gives no rows. ``formatted`` is the concatenation of the segments' texts; loss marks the pieces to train on, which
+    gives no rows. A conversation is one row, so one task holds all its turns. ``formatted`` is the concatenation of the segments' texts; loss marks the pieces to train on, which
     hold (escaped) texts of ``train_roles`` alone, without markup.
     """
     clean = turns.select(
