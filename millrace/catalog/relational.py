@@ -282,12 +282,12 @@ def agg_first_last(spark, sf):
 @query("agg_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) + grouping(o_orderpriority) AS INT) AS level FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def agg_rollup(spark, sf):
     level = (F.grouping("o_orderstatus").cast("int") + F.grouping("o_orderpriority").cast("int")).alias("level")
-    return aggregates.rollup(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], F.count(F.lit(1)).alias("n"), level)
+    return table(spark, sf, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), level)
 
 
 @query("agg_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def agg_cube(spark, sf):
-    return aggregates.cube(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("agg_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
@@ -298,7 +298,7 @@ def agg_grouping_sets(spark, sf):
 
 @query("agg_pivot", "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'O') AS O, count(*) FILTER (l_linestatus = 'F') AS F FROM lineitem GROUP BY l_returnflag")
 def agg_pivot(spark, sf):
-    return aggregates.pivot(table(spark, sf, "lineitem"), ["l_returnflag"], "l_linestatus", ["O", "F"], F.count(F.lit(1))).na.fill(0)
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query("agg_fold", "SELECT user_id, string_agg(left(event_type, 1), '' ORDER BY ts, event_id) AS path FROM events GROUP BY user_id")

@@ -36,16 +36,3 @@ def accumulate(df: DataFrame, keys: list[str], order: list[str], size: int, valu
 def table_aggregate(changelog: DataFrame, key: str, order: str, group: str, *aggregates: Column) -> DataFrame:
     """Aggregates over a table grouped by a column of its latest rows: a changed row leaves its old group, a deleted row every group."""
     return latest(changelog, [key], [order], F.col(group).isNull()).groupBy(group).agg(*aggregates)
-
-
-def rollup(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
-    return df.rollup(*keys).agg(*aggregates)
-
-
-def cube(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
-    return df.cube(*keys).agg(*aggregates)
-
-
-def pivot(df: DataFrame, keys: list[str], column: str, values: list, aggregate: Column) -> DataFrame:
-    """One column for each listed value; listing them spares a pass over the data."""
-    return df.groupBy(*keys).pivot(column, values).agg(aggregate)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructType
+from pyspark.sql.types import DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructType
 
 _WIDER = [ShortType(), IntegerType(), LongType(), FloatType(), DoubleType()]
 
@@ -101,12 +101,4 @@ def compatible(new: StructType, versions: list[StructType], mode: str) -> list[s
 
 def vector_ok(x: Column, dim: int) -> Column:
     """Whether a vector has the declared number of components, all finite."""
-    return F.coalesce((F.size(x) == dim) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
-
-
-def vector_schema(element: str = "float") -> ArrayType:
-    return ArrayType(DataType.fromDDL(element))
-
-
-def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return F.coalesce((F.size(x) == dim) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))), F.lit(False))

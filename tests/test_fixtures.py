@@ -447,3 +447,32 @@ def test_jdbc(spark, tmp_path):
         pytest.skip(f"no database driver: {str(e)[:80]}")
     read = files.read_jdbc(spark, url, "T", "N", 0, 10, 3, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     assert read.count() == 10 and read.rdd.getNumPartitions() == 3
+
+
+def test_feed_moves_the_clock(spark):
+    from millrace.streaming.run import Feed
+
+    at = lambda m: BASE + dt.timedelta(minutes=m)
+    feed = Feed(spark, "ts timestamp, k string")
+    counts = windows.tumble(windows.watermarked(feed.stream, "ts", "0 seconds"), "ts", "5 minutes", ["k"], F.count("k").alias("n"))
+    feed.put((at(0), "a"), (at(1), "a"), (at(3), "b"))
+    assert feed.read(counts) == []
+    feed.advance("ts", at(30))
+    assert sorted((r.k, r.n) for r in feed.read(counts)) == [("a", 2), ("b", 1)]
+    feed.put((at(2), "a"))
+    assert feed.read(counts) == []
+
+
+def test_named_topologies(spark, sf_dir, tmp_path):
+    from millrace.streaming.run import Topologies, replay
+
+    named, seen = Topologies(spark), {}
+    named.add("kinds", lambda s: replay(s, sf_dir, "events").groupBy("event_type").count())
+    named.add("users", lambda s: replay(s, sf_dir, "events").groupBy("user_id").count())
+    with pytest.raises(ValueError):
+        named.add("users", lambda s: s.range(1))
+    assert "event_type" in named.describe("kinds") and "user_id" in named.describe("users")
+    for name in ("kinds", "users"):
+        named.start(name, lambda batch, n, name=name: seen.__setitem__(name, batch.count()), str(tmp_path / name), "complete", availableNow=True).awaitTermination()
+    assert seen["kinds"] == 5 and seen["users"] > 5 and named.active() == {"kinds": False, "users": False}
+    named.stop("kinds")
