@@ -36,11 +36,11 @@ from .textnum import blocks, mix, powers
 GRAM = 32
 PLACE = np.uint64((1 << 24) - 1)
 #: Bytes of text that are parsed at once, and that share a dictionary before the shuffle.
-PIECE, BLOCK = 1_000_000, 2_000_000
+PIECE, BLOCK = 600_000, 2_000_000
 #: Bytes of text whose triggers meet in one shard.
 SHARD_BYTES = 32_000_000
 #: Occurrences beyond which the phrases of a trigger are dealt by their bytes beside it.
-HOT = 20_000
+HOT = 4_000
 #: Kinds of rows: what a block holds once, what it holds more than once, and where it holds that.
 ONCE, MANY, PLACES = 0, 1, 2
 
