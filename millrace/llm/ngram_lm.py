@@ -6,17 +6,18 @@ With ``order`` 3 a word w after the words b, c has probability
 - p(w) = (n(w) + 0.5) / (N + 0.5 * (V + 1));
 with k = (1 + n) ** -DECAY of the context's count. These never sum to more than one.
 
-Occurrences travel once keyed by word and once keyed by context, packed, together with the document they come from. Each shard counts the
-training occurrences it gets, lays them out as tries and scores all occurrences against them:
-- level 1 holds the sorted contexts with their quantised log weights, level 2 the successors of each context as numbers relative to that
-  context. Either level is one Elias-Fano sequence: the high bits, in unary, are the monotone pointers that tell which range belongs
+Texts are cut into words once: a table holds each block of documents as numbers of the block's distinct words. Words and pairs are
+a pass each, trigrams three. A block sends each distinct n-gram once with its training count, packed, to the shard of its context. The shard adds the counts
+up, lays them out as a trie, looks every n-gram up that was sent and answers in the order sent; the block adds the answers up by document.
+- level 1 of a trie holds the sorted contexts with their quantised log weights, level 2 the successors of each context as numbers relative
+  to that context. Either level is one Elias-Fano sequence: the high bits, in unary, are the monotone pointers that tell which range belongs
   to which context; the low bits, as many as the number of entries asks for, lie packed beside them with 16-bit codes of the log
   probabilities;
 - a lookup is a search for the least element not below the wanted one inside the context's range.
-The levels are written to one file and memory-mapped while the shard's occurrences are looked up. ``score_documents`` can keep them as a
+The levels are written to one file and memory-mapped while the shard's n-grams are looked up. ``score_documents`` can keep them as a
 table, against which ``score_by_model`` scores other documents later.
 
-Very frequent words, contexts and pairs of context words are dealt over all shards by what follows or precedes them. Their totals are
+Very frequent contexts are dealt over all shards by what follows them, very frequent words aren't sent at all. Their totals are
 counted once and broadcast: more than N / (2 * shards) occurrences each, so there are at most six for each shard.
 """
 
@@ -28,8 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import release, staged, text_batches, width
 from .textnum import SPACE, Buffer, blocks, mix
@@ -170,26 +173,6 @@ def is_training(doc_id: int | None, held: int = 1) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 != held
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word before the context word, context word, word, text number) of every token: a text's words, then its end."""
-    buffer = Buffer(texts)
-    starts, ends, row = buffer.words(SPACE)
-    counts = np.bincount(row, minlength=len(texts)) + 1
-    last = np.cumsum(counts) - 1
-    token = np.empty(int(counts.sum()), np.uint64)
-    is_word = np.ones(len(token), bool)
-    is_word[last] = False
-    token[is_word], token[last] = buffer.hashes(starts, ends), END
-
-    def shifted(x: np.ndarray) -> np.ndarray:
-        out = np.concatenate([[START], x[:-1]]).astype(np.uint64)
-        out[last[:-1] + 1] = START
-        return out
-
-    context = shifted(token)
-    return shifted(context), context, token, np.repeat(np.arange(len(texts)), counts)
-
-
 def _short(x: np.ndarray) -> np.ndarray:
     """What travels of a partner."""
     return mix(x) & OTHER
@@ -200,8 +183,136 @@ def _pair(before: np.ndarray, context: np.ndarray) -> np.ndarray:
     return mix(context ^ mix(before + np.uint64(3)))
 
 
-def _training(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array([is_training(i) for i in batch.column(0).to_pylist()], bool)
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of 64-bit numbers, all first bytes first: high ones, mostly equal, are compressed away."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(x: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(x) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(x, np.uint8).reshape(width, -1).T
+    return wide.view(np.int64).ravel()
+
+
+def _squeezed(data: bytes) -> bytes:
+    """The size, and the bytes coded by their frequencies."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _heaps(batches):
+    """Tables of some ``BLOCK`` bytes of text from smaller batches; a larger batch is cut, a longer text stands alone."""
+    hold, size = [], 0
+    for batch in batches:
+        if hold and size + batch.column(1).nbytes > BLOCK:
+            yield pa.Table.from_batches(hold)
+            hold, size = [], 0
+        hold.append(batch)
+        size += batch.column(1).nbytes
+    if hold:
+        yield pa.Table.from_batches(hold)
+
+
+NUMBERED = "block bigint, n_tokens bigint, train binary, counts binary, names binary, words binary"
+
+
+def _number(batches):
+    """A row for each block of documents: ids, whether they train, how many tokens each has (its words, then its end), and all tokens
+    as numbers of the block's distinct words, the most frequent first."""
+    block = TaskContext.get().partitionId() << 32
+    for heap in _heaps(batches):
+        ids, texts = (heap.column(k).combine_chunks() for k in (0, 1))
+        for a, b in blocks(texts, BLOCK):
+            buffer = Buffer(texts.slice(a, b - a))
+            starts, ends, row = buffer.words(SPACE)
+            counts = np.bincount(row, minlength=b - a) + 1
+            last = np.cumsum(counts) - 1
+            token = np.full(int(counts.sum()), END)
+            is_word = np.ones(len(token), bool)
+            is_word[last] = False
+            token[is_word] = buffer.hashes(starts, ends)
+            names, words, often = np.unique(token, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            packed = _squeezed(_planes(rank[words], 3 if len(names) < 1 << 24 else 4))
+            some = ids.slice(a, b - a)
+            train = np.array([is_training(i) for i in some.to_pylist()], bool)
+            part = (block, len(token), train.tobytes(), counts.astype(np.uint32).tobytes(), names[order].tobytes(), packed)
+            types = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            listed = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), some)
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(part, types, strict=True)), listed], names=[*_names(NUMBERED), "ids"])
+            block += 1
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+@dataclass
+class Level:
+    """The n-grams of one length in a block: the number of every token's, and of each distinct one its context's key, its last word's
+    hash, how often training texts hold it, and its own key as a context."""
+
+    number: np.ndarray
+    key: np.ndarray
+    last: np.ndarray
+    count: np.ndarray
+    own: np.ndarray
+
+
+class Grams:
+    """A block of documents, each text after as many starts as a context has words; ``levels[k]`` are its n-grams of k words.
+
+    The starts have n-grams too, which no text holds: they count nothing.
+    """
+
+    def __init__(self, row: dict, order: int, top: int):
+        names = np.append(np.frombuffer(row["names"], np.uint64), START)
+        counts = np.frombuffer(row["counts"], np.uint32).astype(np.int64) + order - 1
+        self.train = np.frombuffer(row["train"], bool)
+        first = np.cumsum(counts) - counts
+        self.real = np.ones(int(counts.sum()), bool)
+        for k in range(order - 1):
+            self.real[first + k] = False
+        word = np.full(len(self.real), len(names) - 1)
+        words = _unsqueezed(row["words"])
+        word[self.real] = _from_planes(words, len(words) // row["n_tokens"])
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        self.weight = self.real & self.train[self.doc]
+        number, own = word, names
+        self.levels = {1: Level(word, names, names, np.bincount(word, self.weight, len(names)).astype(np.int64), names)}
+        for k in range(2, top + 1):
+            distinct, number_ = np.unique(np.concatenate([number[:1], number[:-1]]) << 32 | word, return_inverse=True)
+            key, last = own[distinct >> 32], names[distinct & 0xFFFFFFFF]
+            number, own = number_, _pair(_short(key), last)
+            self.levels[k] = Level(number, key, last, np.bincount(number, self.weight, len(key)).astype(np.int64), own)
+
+    def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, training counts) of the contexts of k words."""
+        level = self.levels[k]
+        return level.own, np.bincount(level.number[:-1], self.weight[1:], len(level.own)).astype(np.int64)
+
+    def dealt(self, k: int, known: Survey) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the distinct n-grams of k words, from shard to shard; where each shard begins): frequent words are left out."""
+        level, shards = self.levels[k], np.uint64(known.shards)
+        shard = (level.key >> np.uint64(24)) % shards
+        often = places(known.frequent(k).keys, level.key) >= 0
+        if k > 1:
+            shard[often] = (mix(level.last[often] ^ level.key[often]) >> np.uint64(24)) % shards
+        at = np.flatnonzero(~often) if k == 1 else np.arange(len(shard))
+        shard = shard[at].astype(np.uint16 if known.shards < 65_536 else np.int64)
+        return at[np.argsort(shard, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=known.shards))])
+
+
+def _each(batches, order: int, top: int):
+    """The blocks of some rows of the numbered table."""
+    for batch in batches:
+        for row in batch.select(_names(NUMBERED)).to_pylist():
+            yield row["block"], Grams(row, order, top)
 
 
 COUNTED = "kind int, key bigint, n bigint"
@@ -213,8 +324,11 @@ def _counted(kinds: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
 
-def _kinds(before: np.ndarray, context: np.ndarray, token: np.ndarray, order: int) -> tuple[tuple[int, np.ndarray], ...]:
-    return ((1, token), (2, _pair(_short(before), context))) if order > 2 else ((1, token),)
+def _kinds(grams: Grams, order: int):
+    """(kind, keys, training counts) of what may be frequent: words (1) and pairs of context words (2)."""
+    yield 1, grams.levels[1].own, grams.levels[1].count
+    if order > 2:
+        yield 2, *grams.contexts(2)
 
 
 def _survey(shards: int, order: int):
@@ -224,18 +338,13 @@ def _survey(shards: int, order: int):
     """
 
     def run(batches):
-        for batch in batches:
-            train = _training(batch)
-            for a, b in blocks(batch.column(1), BLOCK):
-                before, context, token, row = _grams(batch.column(1).slice(a, b - a))
-                use = train[a:b][row]
-                n = int(use.sum())
-                found = {0: (np.zeros(1, np.uint64), np.array([n]))}
-                for kind, keys in _kinds(before[use], context[use], token[use], order):
-                    keys, counts = np.unique(keys, return_counts=True)
-                    often = counts * 4 * shards >= n
-                    found[kind] = keys[often], counts[often]
-                yield _counted(found)
+        for _, grams in _each(batches, order, order - 1):
+            n = int(grams.weight.sum())
+            found = {0: (np.zeros(1, np.uint64), np.array([n]))}
+            for kind, keys, counts in _kinds(grams, order):
+                often = (counts * 4 * shards >= n) & (counts > 0)
+                found[kind] = keys[often], counts[often]
+            yield _counted(found)
 
     return run
 
@@ -244,16 +353,12 @@ def _totals(hot: dict[int, np.ndarray], order: int):
     """The exact numbers of the frequent words and pairs in each block of training texts."""
 
     def run(batches):
-        for batch in batches:
-            train = _training(batch)
-            for a, b in blocks(batch.column(1), BLOCK):
-                before, context, token, row = _grams(batch.column(1).slice(a, b - a))
-                use = train[a:b][row]
-                found = {}
-                for kind, keys in _kinds(before[use], context[use], token[use], order):
-                    counts = np.bincount(places(hot[kind], keys) + 1, minlength=len(hot[kind]) + 1)[1:]
-                    found[kind] = hot[kind][counts > 0], counts[counts > 0]
-                yield _counted(found)
+        for _, grams in _each(batches, order, order - 1):
+            found = {}
+            for kind, keys, counts in _kinds(grams, order):
+                some = (places(hot[kind], keys) >= 0) & (counts > 0)
+                found[kind] = keys[some], counts[some]
+            yield _counted(found)
 
     return run
 
@@ -290,15 +395,16 @@ class Survey:
     contexts: Frequent
     pairs: Frequent
 
+    def frequent(self, level: int) -> Frequent:
+        """The frequent keys of n-grams of so many words."""
+        return (self.words, self.contexts, self.pairs)[level - 1]
 
-#: Roles of an occurrence in the pass by context: both orders, or one of them where a frequent context is dealt twice.
-BOTH, SECOND, THIRD = 0, 1, 2
-SENT = "shard int, block bigint, role int, ids binary, keys binary, each binary, names binary, others binary, doc binary"
-SENT_TYPES = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
 
+SENT = "shard int, block bigint, keys binary, each binary, others binary, counts binary"
 
-def _five(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+def _five(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5])
 
 
 def _from_five(x: bytes) -> np.ndarray:
@@ -307,116 +413,83 @@ def _from_five(x: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def _coded(values: np.ndarray) -> tuple[bytes | None, bytes]:
-    """Numbers of five bytes: as a list of distinct ones and places in it where that is shorter."""
-    names, at = np.unique(values, return_inverse=True)
-    small = np.uint16 if len(names) < 65_536 else np.uint32
-    if 5 * len(names) + small().itemsize * len(at) < 5 * len(values):
-        return _five(names), at.astype(small).tobytes()
-    return None, _five(values)
-
-
-def _decoded(names: bytes | None, raw: bytes) -> np.ndarray:
-    if names is None:
-        return _from_five(raw)
-    names = _from_five(names)
-    return names[np.frombuffer(raw, np.uint16 if len(names) < 65_536 else np.uint32)]
-
-
-def _send(by_context: bool, known: Survey):
-    """Occurrences of each block of documents, packed by shard and role."""
-    shards = known.shards
-    spread = lambda x: (mix(x) >> np.uint64(24)).astype(np.int64) % shards
-
-    def parts(before, context, token):
-        """(role, places, shard, key, others) of what is sent."""
-        if not by_context:
-            shard = (token >> np.uint64(24)).astype(np.int64) % shards
-            often = places(known.words.keys, token) >= 0
-            shard[often] = spread(context[often])
-            yield BOTH, np.arange(len(token)), shard, token, [_short(context)]
-            return
-        others = [_short(token), _short(before)][: known.order - 1]
-        often = places(known.contexts.keys, context) >= 0
-        cold = np.flatnonzero(~often)
-        yield BOTH, cold, (context[cold] >> np.uint64(24)).astype(np.int64) % shards, context, others
-        hot = np.flatnonzero(often)
-        yield SECOND, hot, spread(token[hot] ^ context[hot]), context, others
-        if known.order < 3:
-            return
-        dealt = spread(before[hot] ^ context[hot])
-        again = places(known.pairs.keys, _pair(others[1][hot], context[hot])) >= 0
-        dealt[again] = spread(mix(before[hot[again]]) ^ token[hot[again]])
-        yield THIRD, hot, dealt, context, others
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint32)
+
+
+def _slices(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of consecutive parts of an array as one binary column."""
+    size = x.nbytes // max(1, len(x))
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * size).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+
+def _parts(k: int, shards: int) -> list[tuple[int, int]]:
+    """The ranges of shards that n-grams of k words are sent to, one after another: trigrams to a third of them at a time, so that less lies on disk at once."""
+    cuts = [0, shards // 3, 2 * shards // 3, shards] if k > 2 else [0, shards]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def _send(k: int, known: Survey, shards: tuple[int, int]):
+    """The distinct n-grams of k words of each block of documents for a range of shards, packed by shard: contexts, how many partners each
+    has, partners, counts."""
 
     def run(batches):
-        for batch in batches:
-            uids, train = batch.column(2).to_numpy(), _training(batch)
-            for a, b in blocks(batch.column(1), BLOCK):
-                before, context, token, row = _grams(batch.column(1).slice(a, b - a))
-                n = b - a
-                block = int(np.add.reduce(mix(uids[a:b].view(np.uint64) ^ mix(np.arange(n, dtype=np.uint64))), keepdims=True).view(np.int64)[0])
-                doc = (row * 2 + train[a:b][row]).astype(np.uint16 if n < 32_768 else np.uint32)
-                ids: bytes | None = uids[a:b].tobytes()
-                for role, places_, shard, key, others in parts(before, context, token):
-                    order = np.lexsort((key[places_], shard))
-                    shard, at = shard[order], places_[order]
-                    cuts = np.searchsorted(shard, np.arange(shards + 1))
-                    key = key[at]
-                    for s in np.flatnonzero(np.diff(cuts)).tolist():
-                        x, y = cuts[s], cuts[s + 1]
-                        first = np.flatnonzero(np.concatenate([[True], key[x + 1 : y] != key[x : y - 1]]))
-                        each = np.diff(np.concatenate([first, [y - x]]))
-                        each = each.astype(np.uint8 if each.max() < 256 else np.uint32)
-                        names, values = _coded(np.concatenate([o[at[x:y]] for o in others]))
-                        part = (s, block, role, ids, key[x:y][first].tobytes(), each.tobytes(), names, values, doc[at[x:y]].tobytes())
-                        ids = None
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(part, SENT_TYPES, strict=True)], names=[c.split()[0] for c in SENT.split(", ")])
+        for block, grams in _each(batches, known.order, k):
+            level, (at, cuts) = grams.levels[k], grams.dealt(k, known)
+            cuts = cuts[shards[0] : shards[1] + 1]
+            at, cuts = at[cuts[0] : cuts[-1]], cuts - cuts[0]
+            filled = np.flatnonzero(np.diff(cuts))
+            cuts = np.append(cuts[filled], len(at))
+            key = level.key[at]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            new[cuts[:-1]] = True
+            first, key_cuts = np.flatnonzero(new), np.concatenate([[0], np.cumsum(new)])[cuts]
+            others = _five(_short(level.last[at])) if k > 1 else np.zeros((len(at), 0), np.uint8)
+            columns = [
+                pa.array((filled + shards[0]).astype(np.int32)),
+                pa.array(np.full(len(filled), block)),
+                _slices(key[first], key_cuts),
+                _slices(_narrow(np.diff(np.append(first, len(key)))), key_cuts),
+                _slices(others, cuts),
+                _slices(_narrow(level.count[at]), cuts),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=_names(SENT))
 
     return run
 
 
-class Occurrences:
-    """What one shard got: key, partners, training flag and slot (document of a block) of every occurrence."""
+class Entries:
+    """What one shard got: key, partner and training count of every n-gram; which part came from which block."""
 
     def __init__(self, table: pa.Table):
-        key, others, doc, role, self.blocks, self.ids = [], [], [], [], [], []
-        for k, (_, block, kind, ids, keys, each, names, values, docs) in enumerate(zip(*(c.to_pylist() for c in table.columns), strict=True)):
+        key, other, count, sizes = [], [], [], []
+        for keys, each, others, counts in zip(*(table.column(c).to_pylist() for c in _names(SENT)[2:]), strict=True):
             keys = np.frombuffer(keys, np.uint64)
-            each = np.frombuffer(each, np.uint8 if len(each) == len(keys) else np.uint32)
-            n = int(each.sum())
-            key.append(np.repeat(keys, each))
-            others.append(_decoded(names, values).reshape(-1, n))
-            doc.append(np.frombuffer(docs, np.uint16 if len(docs) == 2 * n else np.uint32).astype(np.int64) | k << 33)
-            role.append(np.full(n, kind, np.int8))
-            self.blocks.append(block)
-            self.ids.append(ids)
-        self.key, self.role, doc = np.concatenate(key), np.concatenate(role), np.concatenate(doc)
-        self.others = np.concatenate(others, axis=1)
-        self.train = (doc & 1).astype(bool)
-        self.slots, self.slot = np.unique(doc >> 1, return_inverse=True)
-
-    def sums(self, weights: np.ndarray | None, some: np.ndarray | slice = slice(None)) -> np.ndarray:
-        return np.bincount(self.slot[some], weights, len(self.slots))
+            key.append(np.repeat(keys, np.frombuffer(each, np.uint8 if len(each) == len(keys) else np.uint32)))
+            sizes.append(len(key[-1]))
+            other.append(_from_five(others) if others else np.zeros(sizes[-1], np.uint64))
+            count.append(np.frombuffer(counts, np.uint8 if len(counts) == sizes[-1] else np.uint32).astype(np.int64))
+        self.key, self.other, self.count = np.concatenate(key), np.concatenate(other), np.concatenate(count)
+        self.blocks, self.cuts = table.column("block").to_pylist(), np.concatenate([[0], np.cumsum(sizes)])
 
 
 class Pairs:
-    """The distinct (key, partner) pairs of some occurrences in order, and how often training texts hold them and their keys."""
+    """The distinct (key, partner) pairs of some n-grams in order, and how often training texts hold them and their keys."""
 
-    def __init__(self, key: np.ndarray, other: np.ndarray, train: np.ndarray):
+    def __init__(self, key: np.ndarray, other: np.ndarray, count: np.ndarray):
         order = np.lexsort((other, key))
-        key, other, train = key[order], other[order], train[order]
+        key, other, count = key[order], other[order], count[order]
         first = np.ones(min(1, len(key)), bool)
         new_key = np.concatenate([first, key[1:] != key[:-1]])
         new = new_key | np.concatenate([first, other[1:] != other[:-1]])
-        key_of, pair_of = np.cumsum(new_key) - 1, np.cumsum(new) - 1
-        self.keys, self.owner, self.other = key[new_key], key_of[new], other[new]
-        self.count = np.bincount(key_of, train, len(self.keys)).astype(np.int64)
-        self.n = np.bincount(pair_of, train, len(self.other)).astype(np.int64)
-        self.pair = np.empty(len(key), np.int32)
-        self.pair[order] = pair_of
-        self.key = np.empty(len(key), np.int32)
-        self.key[order] = key_of
+        starts, pair_starts = np.flatnonzero(new_key), np.flatnonzero(new)
+        self.keys, self.owner, self.other = key[starts], (np.cumsum(new_key) - 1)[pair_starts], other[pair_starts]
+        total = np.concatenate([[0], np.cumsum(count)])
+        self.count = np.diff(total[np.append(starts, len(key))])
+        self.n = np.diff(total[np.append(pair_starts, len(key))])
+        self.pair = np.empty(len(key), np.int64)
+        self.pair[order] = np.cumsum(new) - 1
 
     def trie(self, totals: Frequent | None = None) -> bytes:
         """The trie of what training texts hold: log weights of contexts, log probabilities of their successors."""
@@ -427,7 +500,7 @@ class Pairs:
         return Trie.build(self.keys[known], np.log10(backoff(count[known])), rank[self.owner[seen]], self.other[seen], values)
 
     def logs(self, trie: Trie) -> tuple[np.ndarray, np.ndarray]:
-        """For each occurrence log10 of its probability after its context, or of the context's weight; and whether the trie holds the pair.
+        """For each n-gram log10 of its probability after its context, or of the context's weight; and whether the trie holds it.
 
         Unknown contexts weigh one. Each distinct pair is looked up once.
         """
@@ -441,156 +514,132 @@ class Pairs:
         return out[self.pair], hit[self.pair]
 
 
-class Levels:
-    """The pairs of one shard for each table, and which occurrences they belong to."""
-
-    def __init__(self, by_context: bool, known: Survey, o: Occurrences):
-        every, of = slice(None), lambda some, key: Pairs(key[some], o.others[0][some], o.train[some])
-        if not by_context:
-            self.parts = {"pairs": (every, of(every, o.key), None)}
-        elif known.order < 3:
-            self.parts = {"second": (every, of(every, o.key), known.contexts)}
-        else:
-            pair = _pair(o.others[1], o.key)
-            a, b, c = (np.flatnonzero(x) for x in (o.role != THIRD, o.role != SECOND, o.role == SECOND))
-            self.parts = {"second": (a, of(a, o.key), known.contexts), "third": (b, of(b, pair), known.pairs), "seen": (c, of(c, pair), None)}
+#: Log probabilities travel as 23-bit multiples of 2 ** -19 and a bit that tells whether the trie holds the n-gram.
+STEP = 1 << 19
+ANSWERED = "block bigint, level int, shard int, answers binary, vocabulary bigint, model map<string,binary>"
+ANSWERED_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.map_(pa.string(), pa.binary())]
 
 
-def _learn(by_context: bool, known: Survey, levels: Levels) -> dict[str, bytes]:
+def _learn(k: int, known: Survey, o: Entries) -> tuple[dict[str, bytes], Pairs | None]:
     """The tables of one shard, as they are kept."""
-    out = {name: pairs.trie(totals) for name, (_, pairs, totals) in levels.parts.items()}
-    if not by_context:
-        pairs = levels.parts["pairs"][1]
-        count = known.words.overlay(pairs.keys, pairs.count)
-        out |= {"words": pairs.keys[count > 0].tobytes(), "counts": count[count > 0].tobytes()}
-    return out
-
-
-def _nothing(by_context: bool) -> dict[str, bytes]:
-    """The tables of a shard that no training text reached."""
-    none = Pairs(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)).trie()
-    return {"second": none, "third": none, "seen": none} if by_context else {"words": b"", "counts": b"", "pairs": none}
-
-
-#: What either pass sums up for each document: by word, and by context. Counts fit their type within a shard; they add up in 64 bits.
-COLUMNS = (
-    {"n_tokens": np.uint32, "n_known": np.uint32, "missed": np.uint32, "logs": np.float64, "missed_logs": np.float64},
-    {"grams": np.float64},
-)
-SCORED = "block bigint, ids binary, docs binary, sums binary, vocabulary bigint, shard int, model map<string,binary>"
-SCORED_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.binary())]
-
-
-def _ask(by_context: bool, learnt: dict[str, bytes], levels: Levels, o: Occurrences) -> list[np.ndarray]:
-    """The sums of every slot, looked up in the shard's tables."""
-    found = {name: pairs.logs(Trie(learnt[name])) for name, (_, pairs, _) in levels.parts.items()}
-    if not by_context:
-        pairs = levels.parts["pairs"][1]
+    if k > 1:
+        pairs = Pairs(o.key, o.other, o.count)
+        o.key = o.other = o.count = None  # a shard's arrays are large
+        return {"trie": pairs.trie(known.frequent(k))}, pairs
+    words, at = np.unique(o.key, return_inverse=True)
+    count = np.bincount(at, o.count, len(words)).astype(np.int64)
+    return {"words": words[count > 0].tobytes(), "counts": count[count > 0].tobytes()}, None
+
+
+def _answer(k: int, o: Entries, pairs: Pairs | None, learnt: dict[str, bytes], shard: int, vocabulary: int, keep: bool) -> pa.Table:
+    """A row for each block of documents: what its n-grams look up to, in the order sent."""
+    if k > 1:
+        logs, hit = pairs.logs(Trie(learnt["trie"]))
+        answers, size = np.minimum(np.round(-logs * STEP), (1 << 23) - 1).astype(np.int64) << 1 | hit, 3
+    else:
         words, count = np.frombuffer(learnt["words"], np.uint64), np.append(np.frombuffer(learnt["counts"], np.int64), 0)
-        at = places(words, pairs.keys)
-        logs = np.log10(count[at] + 0.5)[pairs.key]
-        missed = np.flatnonzero(~found["pairs"][1])
-        return [o.sums(None), o.sums((at >= 0)[pairs.key]), o.sums(None, missed), o.sums(logs), o.sums(logs[missed], missed)]
-    score, held = np.zeros(len(o.key)), np.zeros(len(o.key), bool)
-    if "third" in found:
-        (third, *_), (alone, *_) = levels.parts["third"], levels.parts["seen"]
-        score[third], held[third] = found["third"]
-        held[alone] = found["seen"][1]
-    some = levels.parts["second"][0]
-    score[some] += np.where(held[some], 0.0, found["second"][0])
-    return [o.sums(score)]
-
-
-def _answer(by_context: bool, o: Occurrences, levels: Levels, learnt: dict[str, bytes], shard: int, vocabulary: int, keep: bool) -> pa.Table:
-    """A row for each block of documents: which of its documents, and their sums."""
-    sums = [x.astype(kind) for x, kind in zip(_ask(by_context, learnt, levels, o), COLUMNS[by_context].values(), strict=True)]
+        answers, size = count[places(words, o.key)], 8
     rows = len(o.blocks)
-    cuts = np.searchsorted(o.slots, np.arange(rows + 1) << 32).tolist()
-    docs = o.slots & 0xFFFFFFFF
-    docs = docs.astype(np.uint16 if docs.max() < 65_536 else np.uint32)
-    spans = list(zip(cuts, cuts[1:], strict=False))
     columns = [
         o.blocks,
-        o.ids,
-        [docs[a:b].tobytes() for a, b in spans],
-        [b"".join(x[a:b].tobytes() for x in sums) for a, b in spans],
-        [vocabulary] + [0] * (rows - 1),
+        [k] * rows,
         [shard] * rows,
+        [_squeezed(_planes(answers[a:b], size)) for a, b in zip(o.cuts.tolist(), o.cuts[1:].tolist(), strict=False)],
+        [vocabulary] + [0] * (rows - 1),
         [list(learnt.items()) if keep else None] + [None] * (rows - 1),
     ]
-    return pa.table([pa.array(x, t) for x, t in zip(columns, SCORED_TYPES, strict=True)], names=[c.split()[0] for c in SCORED.split(", ")])
+    return pa.table([pa.array(x, t) for x, t in zip(columns, ANSWERED_TYPES, strict=True)], names=_names(ANSWERED))
 
 
-def _asked(by_context: bool, known: Survey):
-    """One shard of occurrences against the tables that are kept of it."""
+def _score(k: int, known: Survey, keep: bool):
+    """One shard: add the counts up, build its tables, look every n-gram up in them."""
 
-    def run(asked: pa.Table, kept: pa.Table) -> pa.Table:
-        if not len(asked):
-            return pa.table([pa.array([], t) for t in SCORED_TYPES], names=[c.split()[0] for c in SCORED.split(", ")])
-        o, learnt = Occurrences(asked), dict(kept.column("model")[0].as_py()) if len(kept) else _nothing(by_context)
-        return _answer(by_context, o, Levels(by_context, known, o), learnt, asked.column(0)[0].as_py(), 0, False)
+    def run(table: pa.Table) -> pa.Table:
+        o = Entries(table)
+        learnt, pairs = _learn(k, known, o)
+        return _answer(k, o, pairs, learnt, table.column(0)[0].as_py(), len(learnt["words"]) // 8 if k == 1 else 0, keep)
 
     return run
 
 
-def _score(by_context: bool, known: Survey, keep: bool):
-    """One shard: count, build its tables, score every occurrence against them."""
+def _asked(k: int):
+    """The n-grams that one shard got against the tables that are kept of it."""
 
-    def run(table: pa.Table) -> pa.Table:
-        o = Occurrences(table)
-        levels = Levels(by_context, known, o)
-        learnt = _learn(by_context, known, levels)
-        vocabulary = 0
-        if not by_context:
-            words = np.frombuffer(learnt["words"], np.uint64)
-            vocabulary = int((places(known.words.keys, words) < 0).sum())
-        return _answer(by_context, o, levels, learnt, table.column(0)[0].as_py(), vocabulary, keep)
+    def run(asked: pa.Table, kept: pa.Table) -> pa.Table:
+        if not len(asked):
+            return pa.table([pa.array([], t) for t in ANSWERED_TYPES], names=_names(ANSWERED))
+        o, none = Entries(asked), np.zeros(0, np.uint64)
+        pairs = Pairs(o.key, o.other, o.count) if k > 1 else None
+        if len(kept):
+            learnt = dict(kept.column("model")[0].as_py())
+        else:  # no training text reached this shard
+            learnt = {"trie": Pairs(none, none, none.astype(np.int64)).trie()} if k > 1 else {"words": b"", "counts": b""}
+        return _answer(k, o, pairs, learnt, asked.column(0)[0].as_py(), 0, False)
 
     return run
 
 
-def _gather(columns: dict[str, type]):
-    """One block of documents: the sums over all shards, a row for each document."""
-
-    def run(table: pa.Table) -> pa.Table:
-        uids = np.frombuffer(next(x for x in table.column("ids").to_pylist() if x is not None), np.int64)
-        total = [np.zeros(len(uids), np.float64 if kind is np.float64 else np.int64) for kind in columns.values()]
-        for docs, x in zip(table.column("docs").to_pylist(), table.column("sums").to_pylist(), strict=True):
-            each, at = sum(np.dtype(kind).itemsize for kind in columns.values()), 0
-            docs = np.frombuffer(docs, np.uint16 if len(docs) * each == 2 * len(x) else np.uint32)
-            for k, kind in enumerate(columns.values()):
-                size = len(docs) * np.dtype(kind).itemsize
-                total[k][docs] += np.frombuffer(x[at : at + size], kind)
-                at += size
-        return pa.table([pa.array(uids), *(pa.array(x) for x in total)], names=["uid", *columns])
+def _gather(known: Survey, vocabulary: int):
+    """One block of documents and the answers to its n-grams: a row for each document."""
+    scale = float(np.log10(known.tokens + 0.5 * (vocabulary + 1)))
+
+    def run(numbered: pa.Table, answered: pa.Table) -> pa.Table:
+        grams = Grams(numbered.select(_names(NUMBERED)).to_pylist()[0], known.order, known.order)
+        got: dict[int, list] = {}
+        for k, shard, x in zip(*(answered.column(c).to_pylist() for c in ("level", "shard", "answers")), strict=True):
+            got.setdefault(k, []).append((shard, x))
+        base = score = np.zeros(0)
+        for k, level in grams.levels.items():
+            parts = [_from_planes(_unsqueezed(x), 3 if k > 1 else 8) for _, x in sorted(got.get(k, []))]
+            answers = np.zeros(len(level.key), np.int64)
+            answers[grams.dealt(k, known)[0]] = np.concatenate([np.zeros(0, np.int64), *parts])
+            if k == 1:
+                count = known.words.overlay(level.key, answers)
+                base = score = (np.log10(count + 0.5) - scale)[level.number]
+                known_word = (count > 0)[level.number]
+            else:
+                logs, hit = ((answers >> 1) / -STEP)[level.number], (answers & 1 == 1)[level.number]
+                score = logs + np.where(hit, 0.0, score)
+        real, docs = grams.real, len(grams.train)
+        sums = lambda x: np.bincount(grams.doc[real], x[real], docs)
+        columns = [
+            numbered.column("ids").combine_chunks().flatten(),
+            pa.array(~grams.train),
+            pa.array(sums(real).astype(np.int64)),
+            pa.array(sums(known_word).astype(np.int64)),
+            pa.array(np.full(docs, known.tokens, np.int64)),
+            pa.array(sums(base)),
+            pa.array(sums(score)),
+        ]
+        return pa.table(columns, names=["doc_id", *_names(SCORES)])
 
     return run
 
 
-def _gathered(scored: DataFrame, by_context: bool) -> DataFrame:
-    columns = COLUMNS[by_context]
-    schema = "uid bigint, " + ", ".join(f"{c} {'double' if kind is np.float64 else 'bigint'}" for c, kind in columns.items())
-    summed = scored.select("block", "ids", "docs", "sums").groupBy("block").applyInArrow(_gather(columns), schema)
-    return summed.groupBy("uid").agg(*(F.sum(c).alias(c) for c in columns))
+SCORES = "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
+    """The numbered blocks of all documents, as a staged table."""
+    text_batches(docs.sparkSession)
+    ids = T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("uid", F.xxhash64("doc_id", "text"))
+    return staged(rows.mapInArrow(_number, T.StructType([*T.StructType.fromDDL(NUMBERED).fields, ids])), "lm-numbered")
 
 
 def survey(rows: DataFrame, shard_tokens: int, order: int = 3) -> Survey:
     """Counts what the passes must know: tokens, and the frequent words and pairs with their totals."""
     spark = rows.sparkSession
-    sizes = rows.agg(F.sum(F.octet_length("text").cast("bigint")).alias("b")).first()["b"] or 0
-    shards = max(12, width(spark), -(-sizes // (6 * shard_tokens)))
-    counted = staged(rows.select("doc_id", "text").mapInArrow(_survey(shards, order), COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-survey")
+    size = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    shards = max(12, width(spark), -(-size // shard_tokens))
+    numbered = rows.select(_names(NUMBERED))
+    counted = staged(numbered.mapInArrow(_survey(shards, order), COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-survey")
     tokens = counted.where("kind = 0").agg(F.sum("n")).first()[0] or 0
     frequent = counted.where((F.col("kind") > 0) & (F.col("n") * 4 * shards >= tokens)).select("kind", "key").collect()
     hot = {kind: np.sort(np.array([r["key"] for r in frequent if r["kind"] == kind], np.int64).view(np.uint64)) for kind in (1, 2)}
     totals = {kind: np.zeros(len(keys), np.int64) for kind, keys in hot.items()}
     if frequent:
-        for r in rows.select("doc_id", "text").mapInArrow(_totals(hot, order), COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n")).collect():
+        for r in numbered.mapInArrow(_totals(hot, order), COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n")).collect():
             totals[r["kind"]][places(hot[r["kind"]], np.array([r["key"]], np.int64).view(np.uint64))[0]] = r["n"]
     words = Frequent(hot[1], totals[1])
     # every word but a text's last, its end, is the context of one token; the start is the context of as many as there are ends
@@ -599,27 +648,30 @@ def survey(rows: DataFrame, shard_tokens: int, order: int = 3) -> Survey:
     return Survey(order, shards, int(tokens), words, Frequent(begin[sort], totals[1][sort]), Frequent(hot[2], totals[2]))
 
 
-def _pass(rows: DataFrame, by_context: bool, known: Survey, model: str | None) -> tuple[DataFrame, int]:
-    """(uid and sums for each document, words that the shards know)."""
-    sent = rows.mapInArrow(_send(by_context, known), SENT)
-    scored = staged(sent.groupBy("shard").applyInArrow(_score(by_context, known, model is not None), SCORED), "lm-scored")
+def _pass(rows: DataFrame, k: int, known: Survey, shards: tuple[int, int], model: str | None) -> tuple[DataFrame, int]:
+    """(answers of a range of shards to the n-grams of k words, words that the shards know)."""
+    sent = rows.select(_names(NUMBERED)).mapInArrow(_send(k, known, shards), SENT)
+    answered = staged(sent.groupBy("shard").applyInArrow(_score(k, known, model is not None), ANSWERED), "lm-answers")
     if model is not None:
-        scored.where("model is not null").select("shard", "model").write.parquet(f"{model}/{'contexts' if by_context else 'words'}")
-    vocabulary = scored.agg(F.sum("vocabulary")).first()[0] or 0
+        answered.where("model is not null").select("shard", "model").write.mode("append").parquet(f"{model}/level{k}")
+    vocabulary = answered.agg(F.sum("vocabulary")).first()[0] or 0
     release(rows.sparkSession)
-    return _gathered(scored, by_context), int(vocabulary)
+    return answered, int(vocabulary)
 
 
-def _scores(rows: DataFrame, by_word: DataFrame, by_context: DataFrame, tokens: int, vocabulary: int) -> DataFrame:
-    scale = float(np.log10(tokens + 0.5 * (vocabulary + 1)))
-    times = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("times"))
-    sums = by_word.join(by_context, "uid").join(times, "uid")
-    each = lambda c: F.col(c) / F.col("times")
-    whole = lambda c: F.expr(f"{c} div times").alias(c)
-    sums = sums.select("uid", whole("n_tokens"), whole("n_known"), (each("logs") - each("n_tokens") * scale).alias("base_score"), (each("grams") + each("missed_logs") - each("missed") * scale).alias("score"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    listed = rows.select("doc_id", "uid", held.alias("held_out"))
-    return listed.join(sums, "uid").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+def _scores(rows: DataFrame, answered: list[DataFrame], known: Survey, vocabulary: int) -> DataFrame:
+    """Blocks meet their answers, half of the blocks at a time, so that less lies on disk at once."""
+    answers = None
+    for table in answered:
+        part = table.select("block", "level", "shard", "answers")
+        answers = part if answers is None else answers.unionByName(part)
+    schema = T.StructType([T.StructField("doc_id", rows.schema["ids"].dataType.elementType), *T.StructType.fromDDL(SCORES).fields])
+    halves = []
+    for k in (0, 1):
+        some, answer = (x.where(F.pmod(F.xxhash64("block"), F.lit(2)) == k).groupBy("block") for x in (rows, answers))
+        halves.append(staged(some.cogroup(answer).applyInArrow(_gather(known, vocabulary), schema), "lm-scores"))
+        release(rows.sparkSession)
+    return halves[0].unionByName(halves[1])
 
 
 def score_documents(docs: DataFrame, shard_tokens: int = 1_200_000, model: str | None = None, order: int = 3) -> DataFrame:
@@ -630,23 +682,25 @@ def score_documents(docs: DataFrame, shard_tokens: int = 1_200_000, model: str |
     Words are known by 64-bit hashes, a context's successors by 40 bits. With ``model``, a new folder, what was learnt is kept there for
     ``score_by_model``.
     """
-    text_batches(docs.sparkSession)
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     rows = _lines(docs)
     known = survey(rows, shard_tokens, order)
-    by_word, vocabulary = _pass(rows, False, known, model)
-    vocabulary += int((known.words.totals > 0).sum())
-    by_word = staged(by_word, "lm-words")
-    by_context, _ = _pass(rows, True, known, model)
+    answered, vocabulary = [], int((known.words.totals > 0).sum())
+    for k in range(1, order + 1):
+        for shards in _parts(k, known.shards):
+            table, words = _pass(rows, k, known, shards, model)
+            answered.append(table)
+            vocabulary += words
     if model is not None:
         numbers = [(kind, int(key), int(n)) for kind, x in (("words", known.words), ("contexts", known.contexts), ("pairs", known.pairs)) for key, n in zip(x.keys.view(np.int64), x.totals, strict=True)]
         numbers += [("order", 0, order), ("shards", 0, known.shards), ("tokens", 0, known.tokens), ("vocabulary", 0, vocabulary)]
         docs.sparkSession.createDataFrame(numbers, "kind string, key bigint, n bigint").write.parquet(f"{model}/survey")
-    return _scores(rows, by_word, by_context, known.tokens, vocabulary)
+    return _scores(rows, answered, known, vocabulary)
 
 
 def score_by_model(spark: SparkSession, docs: DataFrame, model: str) -> DataFrame:
     """Scores of ``docs`` by a model that ``score_documents`` kept: the same columns; nothing is learnt from these documents."""
-    text_batches(spark)
     rows = _lines(docs)
     numbers: dict[str, list] = {}
     for r in spark.read.parquet(f"{model}/survey").orderBy("kind", "key").collect():
@@ -658,10 +712,11 @@ def score_by_model(spark: SparkSession, docs: DataFrame, model: str) -> DataFram
         return Frequent(keys.view(np.uint64)[order], n[order])
 
     known = Survey(numbers["order"][0][1], numbers["shards"][0][1], numbers["tokens"][0][1], frequent("words"), frequent("contexts"), frequent("pairs"))
-    found = []
-    for by_context, name in ((False, "words"), (True, "contexts")):
-        sent = rows.mapInArrow(_send(by_context, known), SENT)
-        held = spark.read.schema("shard int, model map<string,binary>").parquet(f"{model}/{name}")
-        scored = staged(sent.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(_asked(by_context, known), SCORED), "lm-asked")
-        found.append(_gathered(scored, by_context))
-    return _scores(rows, *found, known.tokens, numbers["vocabulary"][0][1])
+    answered = []
+    for k in range(1, known.order + 1):
+        held = spark.read.schema("shard int, model map<string,binary>").parquet(f"{model}/level{k}")
+        for shards in _parts(k, known.shards):
+            sent = rows.select(_names(NUMBERED)).mapInArrow(_send(k, known, shards), SENT).groupBy("shard")
+            some = held.where((F.col("shard") >= shards[0]) & (F.col("shard") < shards[1])).groupBy("shard")
+            answered.append(staged(sent.cogroup(some).applyInArrow(_asked(k), ANSWERED), "lm-asked"))
+    return _scores(rows, answered, known, numbers["vocabulary"][0][1])

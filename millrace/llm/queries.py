@@ -135,8 +135,8 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores every text by a bigram model learnt from the ids that are not held out; trigrams don't meet the disk budget (README)."""
-    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"), order=2)
+    """Scores every text by a trigram model learnt from the ids that are not held out."""
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from millrace.llm import ngram_lm
+from millrace.llm import ngram_lm, queries
 
 
 def words(text):
@@ -135,3 +135,16 @@ def test_elias_fano_widths(n, keys):
     assert (trie.find_key(rng.integers(0, 2**64, 50, dtype=np.uint64)) == -1).all()
     assert trie.successor(pairs[:, 0].astype(np.int64), pairs[:, 1]).tolist() == list(range(len(pairs)))
     assert not n or (trie.successor(pairs[:, 0].astype(np.int64), pairs[:, 1] ^ np.uint64(1)) == -1).mean() > 0.99
+
+
+def test_the_query_takes_trigrams(spark, tmp_path):
+    rows = corpus(5, 80) + [(500, None), (None, "of The of"), (501, "of The " * 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    agree(listed(queries.op6_ngram_lm(spark, str(tmp_path))), list(brute(rows)))
+
+
+def test_equal_blocks_and_ids_of_another_type(spark):
+    """Partitions that hold the same rows are blocks of their own; ids keep their type."""
+    rows = [(str(i), t) for i, t in corpus(7, 40)]
+    table = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    agree(listed(ngram_lm.score_documents(table.union(table))), list(brute(rows + rows)))
